@@ -1,10 +1,12 @@
 """The queries of this package and their oracles."""
 
-from axiomata.llm import quality_rules
+from axiomata.llm import quality_rules, url_filters
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
     "op8_quality_rules": quality_rules.ORACLE,
+    "op10_url_filters": url_filters.ORACLE,
 }
