@@ -1,9 +1,10 @@
 """The queries of this package and their oracles."""
 
-from axiomata.llm import quality_rules, url_filters
+from axiomata.llm import collision_search, quality_rules, url_filters
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_collision_search": collision_search.op9_collision_search,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
