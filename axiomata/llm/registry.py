@@ -1,9 +1,11 @@
 """The queries of this package and their oracles."""
 
-from axiomata.llm import collision_search, quality_rules, url_filters
+from axiomata.llm import collision_search, language_id, packing, quality_rules, url_filters
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op5_packing": packing.op5_packing,
+    "op6_language_id": language_id.op6_language_id,
     "op9_collision_search": collision_search.op9_collision_search,
     "op10_url_filters": url_filters.op10_url_filters,
 }

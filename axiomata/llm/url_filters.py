@@ -83,8 +83,8 @@ def template_rates(paths: DataFrame) -> DataFrame:
     merged = merged.select("host", "template", "n_labels", "n_bad", F.concat(F.lit("/"), F.array_join("steps.name", "/")).alias("merged"))
     merged = merged.unionByName(leaves.where(F.size("template") == 0).withColumn("merged", F.lit("/")))
     pooled = merged.groupBy("host", "merged").agg(F.sum("n_labels").alias("n"), F.sum("n_bad").alias("bad"))
-    overall = leaves.agg((F.sum("n_bad") + 1).alias("b"), (F.sum("n_labels") + 2).alias("n_all"))
-    rates = pooled.crossJoin(F.broadcast(overall)).withColumn("rate", (F.col("bad") + PRIOR_WEIGHT * F.col("b") / F.col("n_all")) / (F.col("n") + PRIOR_WEIGHT))
+    overall = leaves.agg((F.sum("n_bad") + 1) / (F.sum("n_labels") + 2))
+    rates = pooled.withColumn("rate", (F.col("bad") + PRIOR_WEIGHT * overall.scalar()) / (F.col("n") + PRIOR_WEIGHT))
     return merged.select("host", "template", "merged").join(rates.select("host", "merged", "rate"), ["host", "merged"])
 
 
