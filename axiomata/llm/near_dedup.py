@@ -4,8 +4,8 @@ A signature is cut into TREES labels of DEPTH values. Each tree is a sorted orde
 documents next to each other there share the longest prefixes, so the order itself is as deep as
 a region needs: among many similar documents, neighbours agree in many values, elsewhere in few.
 Neighbours that share at least LEAST values are candidates, confirmed on their full shingle sets.
-After each round only neighbours in different components are candidates, found across runs of
-rows of one component, until a round finds no further link.
+After the first round only neighbours in different components are candidates, which are few, so
+wider windows are taken, and across runs of rows of one component, until a round finds no link.
 """
 
 from __future__ import annotations
@@ -22,11 +22,15 @@ from axiomata.llm import shingles
 from axiomata.llm.components import components
 from axiomata.llm.tables import Scratch, table
 
-TREES, DEPTH, LEAST, NEXT = 16, 8, 4, 3
+TREES, DEPTH, LEAST = 16, 8, 4
+#: Rows on either side that are neighbours, in the first round and in later ones.
+NEXT, LATER = 3, 24
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Bytes of text hashed together; rows of a tree per task; copies are spread over so many keys.
 TOGETHER, ROWS, SALT = 1 << 20, 200_000, 16
+#: Documents on either side of a block of pairs that are confirmed together.
+BLOCK = 4_000
 #: Candidate ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _FACTORS = np.random.default_rng(20260103).integers(0, 2**63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,8 +75,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def neighbours(tree: np.ndarray, label: np.ndarray, rep: np.ndarray, comp: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows in label order: the next NEXT, and the last row before each run of a component."""
+def neighbours(tree: np.ndarray, label: np.ndarray, rep: np.ndarray, comp: np.ndarray, size: np.ndarray, percent: int, nearest: int = NEXT) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows in label order: the ``nearest`` next, and the last row before each run of a component."""
     n = len(rep)
     same = (label[1:] == label[:-1]).cumprod(axis=1).sum(axis=1) >= LEAST
     same &= tree[1:] == tree[:-1]
@@ -80,7 +84,7 @@ def neighbours(tree: np.ndarray, label: np.ndarray, rep: np.ndarray, comp: np.nd
     turn = np.concatenate([[True], comp[1:] != comp[:-1]])
     run = np.maximum.accumulate(np.where(turn, np.arange(n), 0))
     last = np.minimum.accumulate(np.where(np.append(turn[1:], True), np.arange(n), n)[::-1])[::-1]
-    pairs = [(np.arange(n - k), np.arange(k, n)) for k in range(1, NEXT + 1) if n > k]
+    pairs = [(np.arange(n - k), np.arange(k, n)) for k in range(1, nearest + 1) if n > k]
     pairs += [(run - 1, np.arange(n)), (np.arange(n), last + 1)]
     a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
     ok = (a >= 0) & (b < n)
@@ -95,7 +99,7 @@ def neighbours(tree: np.ndarray, label: np.ndarray, rep: np.ndarray, comp: np.nd
 _ORDERED = ["tree", "label", "rep", "comp", "n_shingles"]
 
 
-def _next_to(percent: int, ends: bool):
+def _next_to(percent: int, nearest: int, ends: bool):
     """A task's rows in label order -> candidate pairs, and its first and last rows if ``ends``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +109,11 @@ def _next_to(percent: int, ends: bool):
         whole = pa.Table.from_batches(got)
         tree, rep, comp, size = (whole[c].to_numpy() for c in ("tree", "rep", "comp", "n_shingles"))
         label = np.frombuffer(b"".join(whole["label"].to_pylist()), ">u4").reshape(len(rep), DEPTH)
-        a, b = neighbours(tree, label, rep, comp, size, percent)
+        a, b = neighbours(tree, label, rep, comp, size, percent, nearest)
         nothing = pa.nulls(len(a))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(nothing.cast(whole.schema.field(c).type) for c in _ORDERED)], names=["a", "b", *_ORDERED])
         if ends:
-            edge = whole if len(rep) <= 2 * NEXT else pa.concat_tables([whole.slice(0, NEXT), whole.slice(len(rep) - NEXT)])
+            edge = whole if len(rep) <= 2 * nearest else pa.concat_tables([whole.slice(0, nearest), whole.slice(len(rep) - nearest)])
             for x in edge.select(_ORDERED).combine_chunks().to_batches():
                 none = pa.nulls(x.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, *x.columns], names=["a", "b", *_ORDERED])
@@ -117,36 +121,36 @@ def _next_to(percent: int, ends: bool):
     return run
 
 
-def candidates(forest: DataFrame, scratch: Scratch, rows: int, percent: int) -> DataFrame:
+def candidates(forest: DataFrame, scratch: Scratch, rows: int, percent: int, nearest: int) -> DataFrame:
     """Pairs (a, b) of neighbours in different components. ``forest`` has _ORDERED."""
     parts = max(1, -(-rows // ROWS))
     schema = "a long, b long, tree int, label binary, rep long, comp long, n_shingles long"
     dealt = forest.repartitionByRange(parts, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
-    found = scratch.keep(dealt.mapInArrow(_next_to(percent, parts > 1), schema))
+    found = scratch.keep(dealt.mapInArrow(_next_to(percent, nearest, parts > 1), schema))
     pairs = found.where("a is not null").select("a", "b")
     if parts > 1:  # a few rows per task: pairs across the tasks' borders
         border = found.where("a is null").select(*_ORDERED).coalesce(1).sortWithinPartitions("tree", "label", "rep")
-        pairs = pairs.unionByName(border.mapInArrow(_next_to(percent, False), schema).where("a is not null").select("a", "b"))
+        pairs = pairs.unionByName(border.mapInArrow(_next_to(percent, nearest, False), schema).where("a is not null").select("a", "b"))
     return pairs.distinct()
 
 
 def _confirmed(percent: int):
-    """Rows come sorted by a, its own texts first; then those of its candidates."""
+    """Rows come sorted by block, its documents first (other is null); then its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
+        at, own = None, {}
         for batch in batches:
+            block, ids, other = (batch.column(c).to_pylist() for c in ("block", "id", "other"))
             found: list[np.ndarray] = []
             for _, texts in _groups(batch, "text"):
                 found += shingles.sets(texts)
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             links: list[tuple[int, int]] = []
-            for x, y, s in zip(a, b, found, strict=True):
-                if x != at:
-                    at, own = x, []
+            for k, x, y, s in zip(block, ids, other, found, strict=True):
+                if k != at:
+                    at, own = k, {}
                 if y is None:
-                    own.append(s)
-                elif any(100 * (c := shingles.common(s, t)) >= percent * (len(s) + len(t) - c) for t in own):
+                    own.setdefault(x, []).append(s)
+                elif any(100 * (c := shingles.common(p, q)) >= percent * (len(p) + len(q) - c) for p in own.get(x, ()) for q in own.get(y, ())):
                     links.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
@@ -154,15 +158,21 @@ def _confirmed(percent: int):
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = scratch.keep(ids)
+    """The pairs whose full sets are similar enough.
+
+    Both ends of a pair are hashed into groups of about BLOCK documents; a block holds the pairs
+    between two groups, so a text goes to a block once, however many of its pairs are there.
+    """
+    ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     n = ids.count()
     texts = scratch.keep(docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    first = texts.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    other = pairs.join(texts, pairs.b == texts.doc_id).select("a", "b", "text")
-    parts = max(12, -(-n // 5_000))
-    dealt = first.unionByName(other).repartition(parts, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    groups = max(1, -(-n // BLOCK))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    keyed = pairs.select("a", "b", (group("a") * groups + group("b")).alias("block"))
+    needed = keyed.select("block", F.col("a").alias("doc_id")).unionByName(keyed.select("block", F.col("b").alias("doc_id"))).distinct()
+    rows = needed.join(texts, "doc_id").select("block", F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("other"), "text")
+    rows = rows.unionByName(keyed.select("block", F.col("a").alias("id"), F.col("b").alias("other"), F.lit(None).cast("string").alias("text")))
+    dealt = rows.repartition(max(12, min(groups * groups, -(-n // 2_000))), "block").sortWithinPartitions("block", F.col("other").asc_nulls_first())
     return scratch.keep(dealt.mapInArrow(_confirmed(percent), "a long, b long"))
 
 
@@ -194,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
         else:
             placed = nodes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
         forest = placed.select(F.explode(cut).alias("t"), "rep", "comp", "n_shingles").select("t.tree", "t.label", "rep", "comp", "n_shingles")
-        pairs = candidates(forest, scratch, rows, percent)
+        pairs = candidates(forest, scratch, rows, percent, NEXT if roots is None else LATER)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
