@@ -1,9 +1,10 @@
 """The queries of this package and their oracles."""
 
-from axiomata.llm import collision_search, language_id, near_dedup, packing, quality_rules, url_filters
+from axiomata.llm import collision_search, language_id, near_dedup, packing, quality_rules, repeat_index, url_filters
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op1_repeat_index": repeat_index.op1_repeat_index,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_packing": packing.op5_packing,
     "op6_language_id": language_id.op6_language_id,
