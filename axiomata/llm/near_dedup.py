@@ -223,5 +223,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("comp").isNull()).alias("kept"))
 
 
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, more) that stay: one document of each component.
+
+    Of rows that repeat a doc_id the one with the smallest text stays. Rows without a doc_id stay.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    gone = scratch.keep(near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").where("doc_id is not null").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = scratch.keep(docs.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
+    if again.isEmpty():
+        return stay
+    first = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("row"))
+    return stay.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("row.*"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -109,10 +109,20 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
     empty ledger. Texts of any length are measured whole.
     """
     found = measured(docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")), "text_").drop("text_")
+    return found.withColumn("fail_bits", fail_bits(rules)).withColumnRenamed("key_", key)
+
+
+def fail_bits(rules: tuple[Rule, ...] = RULES) -> Column:
     bits = F.lit(0).cast("long")
     for place, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << place)).otherwise(F.lit(0)).cast("long"))
-    return found.withColumn("fail_bits", bits).withColumnRenamed("key_", key)
+    return bits
+
+
+def passing(docs: DataFrame, policy: str | int = "v1", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with all their columns."""
+    found = measured(docs.select(F.struct("*").alias("row_"), F.col(text).alias("text_")), "text_").withColumn("fail_bits", fail_bits())
+    return verdicts(found, policy).where("kept").select("row_.*")
 
 
 def verdicts(book: DataFrame, policy: str | int = "v1") -> DataFrame:

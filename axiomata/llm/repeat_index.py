@@ -137,39 +137,43 @@ def unpack_rows(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Batch:
-    """Some whole texts: ids, lengths and bytes."""
+    """Some whole texts: ids, lengths and bytes, and what else their rows carry."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, raw: bytes):
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, raw: bytes, carried: np.ndarray, more: bytes):
         self.ids, self.lengths, self.raw = ids, lengths, np.frombuffer(raw, np.uint8)
+        self.carried, self.more = carried, more
 
     def packed(self) -> bytes:
-        head = np.array([len(self.ids)], "<i8").tobytes() + self.ids.astype("<i8").tobytes() + self.lengths.astype("<i8").tobytes()
-        return zstandard.ZstdCompressor(level=3).compress(head + self.raw.tobytes())
+        head = np.concatenate([[len(self.ids)], self.ids, self.lengths, self.carried]).astype("<i8").tobytes()
+        return zstandard.ZstdCompressor(level=3).compress(head + self.more + self.raw.tobytes())
 
     @classmethod
     def unpacked(cls, payload: bytes) -> Batch:
         raw = zstandard.ZstdDecompressor().decompress(payload)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        ids, lengths = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
-        return cls(ids, lengths, raw[8 + 16 * n :])
+        ids, lengths, carried = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
+        text = 8 + 24 * n + int(carried.sum())
+        return cls(ids, lengths, raw[text:], carried, raw[8 + 24 * n : text])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+    at, ids, texts, more, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
     def row() -> pa.RecordBatch:
-        made = Batch(np.array(ids, np.int64), np.array([len(t) for t in texts], np.int64), b"".join(texts))
+        sizes = [np.array([len(t) for t in x], np.int64) for x in (texts, more)]
+        made = Batch(np.array(ids, np.int64), sizes[0], b"".join(texts), sizes[1], b"".join(more))
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([made.packed()], pa.binary())], names=["batch", "size", "payload"])
 
     for batch in batches:
-        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for key, text, rest in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("carried"), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "replace")
             ids.append(NO_ID if key is None else key)
             texts.append(raw)
+            more.append((rest.as_py() or "").encode())
             size += len(raw) + 16
             if size >= BATCH:
                 yield row()
-                at, ids, texts, size = at + 1, [], [], 0
+                at, ids, texts, more, size = at + 1, [], [], [], 0
     if ids:
         yield row()
 
@@ -380,24 +384,25 @@ def _finished(buckets: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts, replies in _by_batch(batches):
             gone = removed(texts, buckets, _answers(replies, 0, "u1"), _answers(replies, 1, "<u4"))
-            ends = np.cumsum(texts.lengths)
-            out: list[list] = [[], [], [], [], [], []]
-            for key, a, b in zip(texts.ids.tolist(), (ends - texts.lengths).tolist(), ends.tolist(), strict=True):
+            ends, rest = np.cumsum(texts.lengths), np.cumsum(texts.carried)
+            out: list[list] = [[], [], [], [], [], [], []]
+            for key, a, b, c, d in zip(texts.ids.tolist(), (ends - texts.lengths).tolist(), ends.tolist(), (rest - texts.carried).tolist(), rest.tolist(), strict=True):
                 drop = gone[a:b]
                 kept = texts.raw[a:b][~drop].tobytes()
                 spans = int(drop[:1].sum() + (drop[1:] & ~drop[:-1]).sum())
-                values = (None if key == NO_ID else key, b - a, int(drop.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)
+                values = (None if key == NO_ID else key, b - a, int(drop.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, texts.more[c:d].decode())
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)][: 5 + with_text], names=names[: 5 + with_text])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "carried"]
+            n = 7 if with_text else 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)][:n], names=names[:n])
 
     return run
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for every row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text and the other columns) for every row of ``docs``.
 
     Only key and text are read. A null text is empty. A null doc_id counts as larger than all
     others. Rows that repeat a doc_id don't shorten each other. kept_text leaves out bytes of
@@ -406,7 +411,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    others = [c for c in docs.columns if c not in (key, text)]
+    carried = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])) if with_text and others else F.lit(None).cast("string")
+    kinds = docs.select(*[f"`{c}`" for c in others]).schema
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), carried.alias("carried"))
     texts = scratch.keep(docs.mapInArrow(_gather, "batch long, size long, payload binary"))
     n, size = texts.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(12, -(-size // BUCKET))
@@ -430,8 +438,12 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     freed()
     resolved = scratch.keep(dealt(joined(judged).mapInArrow(_literal(buckets), blob)).mapInArrow(_resolved, reply))
     freed()
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return joined(judged, resolved).mapInArrow(_finished(buckets, with_text), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, carried string" if with_text else "")
+    done = joined(judged, resolved).mapInArrow(_finished(buckets, with_text), schema)
+    if not with_text:
+        return done
+    done = done.withColumn("carried", F.from_json("carried", kinds) if others else F.struct())
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *[F.col(f"carried.`{c}`") for c in others])
 
 
 def op1_repeat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
