@@ -1,10 +1,11 @@
 """The queries of this package and their oracles."""
 
-from axiomata.llm import collision_search, language_id, near_dedup, packing, quality_rules, repeat_index, sanitise, url_filters
+from axiomata.llm import collision_search, language_id, lm_scoring, near_dedup, packing, quality_rules, repeat_index, sanitise, url_filters
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op1_repeat_index": repeat_index.op1_repeat_index,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_sanitise": sanitise.op3_sanitise,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_packing": packing.op5_packing,
