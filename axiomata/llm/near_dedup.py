@@ -4,8 +4,8 @@ A signature is cut into TREES labels of DEPTH values. Each tree is a sorted orde
 documents next to each other there share the longest prefixes, so the order itself is as deep as
 a region needs: among many similar documents, neighbours agree in many values, elsewhere in few.
 Neighbours that share at least LEAST values are candidates, confirmed on their full shingle sets.
-After the first round only neighbours in different components are candidates, which are few, so
-wider windows are taken, and across runs of rows of one component, until a round finds no link.
+The second round widens the windows among neighbours that are still in different components. The
+orders stay the same, so a third round of the same windows couldn't find anything.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from axiomata.llm.components import components
 from axiomata.llm.tables import Scratch, table
 
 TREES, DEPTH, LEAST = 16, 8, 4
-#: Rows on either side that are neighbours, in the first round and in later ones.
-NEXT, LATER = 3, 24
+#: Rows on either side that are neighbours in each round.
+WINDOWS = (2, 10)
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Bytes of text hashed together; rows of a tree per task; copies are spread over so many keys.
@@ -75,20 +75,16 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def neighbours(tree: np.ndarray, label: np.ndarray, rep: np.ndarray, comp: np.ndarray, size: np.ndarray, percent: int, nearest: int = NEXT) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows in label order: the ``nearest`` next, and the last row before each run of a component."""
+def neighbours(tree: np.ndarray, label: np.ndarray, rep: np.ndarray, comp: np.ndarray, size: np.ndarray, percent: int, past: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among rows in label order, past ``past`` and up to ``to`` places apart."""
     n = len(rep)
     same = (label[1:] == label[:-1]).cumprod(axis=1).sum(axis=1) >= LEAST
     same &= tree[1:] == tree[:-1]
     region = np.concatenate([[0], np.cumsum(~same)])
-    turn = np.concatenate([[True], comp[1:] != comp[:-1]])
-    run = np.maximum.accumulate(np.where(turn, np.arange(n), 0))
-    last = np.minimum.accumulate(np.where(np.append(turn[1:], True), np.arange(n), n)[::-1])[::-1]
-    pairs = [(np.arange(n - k), np.arange(k, n)) for k in range(1, nearest + 1) if n > k]
-    pairs += [(run - 1, np.arange(n)), (np.arange(n), last + 1)]
+    pairs = [(np.arange(n - k), np.arange(k, n)) for k in range(past + 1, to + 1) if n > k]
+    if not pairs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
-    ok = (a >= 0) & (b < n)
-    a, b = a[ok], b[ok]
     low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
     ok = (region[a] == region[b]) & (comp[a] != comp[b]) & (rep[a] != rep[b]) & (100 * low >= percent * high)
     a, b = rep[a[ok]], rep[b[ok]]
@@ -99,7 +95,7 @@ def neighbours(tree: np.ndarray, label: np.ndarray, rep: np.ndarray, comp: np.nd
 _ORDERED = ["tree", "label", "rep", "comp", "n_shingles"]
 
 
-def _next_to(percent: int, nearest: int, ends: bool):
+def _next_to(percent: int, window: tuple[int, int], ends: bool):
     """A task's rows in label order -> candidate pairs, and its first and last rows if ``ends``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,11 +105,11 @@ def _next_to(percent: int, nearest: int, ends: bool):
         whole = pa.Table.from_batches(got)
         tree, rep, comp, size = (whole[c].to_numpy() for c in ("tree", "rep", "comp", "n_shingles"))
         label = np.frombuffer(b"".join(whole["label"].to_pylist()), ">u4").reshape(len(rep), DEPTH)
-        a, b = neighbours(tree, label, rep, comp, size, percent, nearest)
+        a, b = neighbours(tree, label, rep, comp, size, percent, *window)
         nothing = pa.nulls(len(a))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(nothing.cast(whole.schema.field(c).type) for c in _ORDERED)], names=["a", "b", *_ORDERED])
         if ends:
-            edge = whole if len(rep) <= 2 * nearest else pa.concat_tables([whole.slice(0, nearest), whole.slice(len(rep) - nearest)])
+            edge = whole if len(rep) <= 2 * window[1] else pa.concat_tables([whole.slice(0, window[1]), whole.slice(len(rep) - window[1])])
             for x in edge.select(_ORDERED).combine_chunks().to_batches():
                 none = pa.nulls(x.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, *x.columns], names=["a", "b", *_ORDERED])
@@ -121,16 +117,16 @@ def _next_to(percent: int, nearest: int, ends: bool):
     return run
 
 
-def candidates(forest: DataFrame, scratch: Scratch, rows: int, percent: int, nearest: int) -> DataFrame:
+def candidates(forest: DataFrame, scratch: Scratch, rows: int, percent: int, window: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of neighbours in different components. ``forest`` has _ORDERED."""
     parts = max(1, -(-rows // ROWS))
     schema = "a long, b long, tree int, label binary, rep long, comp long, n_shingles long"
     dealt = forest.repartitionByRange(parts, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
-    found = scratch.keep(dealt.mapInArrow(_next_to(percent, nearest, parts > 1), schema))
+    found = scratch.keep(dealt.mapInArrow(_next_to(percent, window, parts > 1), schema))
     pairs = found.where("a is not null").select("a", "b")
     if parts > 1:  # a few rows per task: pairs across the tasks' borders
         border = found.where("a is null").select(*_ORDERED).coalesce(1).sortWithinPartitions("tree", "label", "rep")
-        pairs = pairs.unionByName(border.mapInArrow(_next_to(percent, nearest, False), schema).where("a is not null").select("a", "b"))
+        pairs = pairs.unionByName(border.mapInArrow(_next_to(percent, window, False), schema).where("a is not null").select("a", "b"))
     return pairs.distinct()
 
 
@@ -197,25 +193,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     nodes = scratch.keep(full.join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "signature"))
     cut = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label")))
     rows = nodes.count() * TREES
-    links = tested = roots = None
-    while True:
+    links = roots = None
+    for window in zip((0, *WINDOWS), WINDOWS, strict=False):
         if roots is None:
             placed = nodes.withColumn("comp", F.col("rep"))
         else:
             placed = nodes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
         forest = placed.select(F.explode(cut).alias("t"), "rep", "comp", "n_shingles").select("t.tree", "t.label", "rep", "comp", "n_shingles")
-        pairs = candidates(forest, scratch, rows, percent, NEXT if roots is None else LATER)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
-        found = confirmed(pairs, docs, scratch, percent)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if links is not None and found.isEmpty():
-            break
+        found = confirmed(scratch.keep(candidates(forest, scratch, rows, percent, window)), docs, scratch, percent)
         links = found if links is None else links.unionByName(found)
         roots = components(links, scratch)
-        if roots.isEmpty():
-            break
     named = reps.join(roots, reps.rep == roots.id, "left").select("digest", F.coalesce("root", "rep").alias("comp"))
     spread = salted.select("digest", "salt").join(named, "digest")
     own = members.join(spread, ["digest", "salt"], "left")
