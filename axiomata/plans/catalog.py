@@ -1,4 +1,295 @@
-"""The registered queries of the formula engine and their oracles."""
+"""The registered queries of the formula engine and their oracles in DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from axiomata.functions import canonical as forms
+from axiomata.functions import features
+from axiomata.functions.analysis import analyse, generalized, rational_of
+from axiomata.operators import limiter, search
+from axiomata.plans.derived import FACETS_SQL, PART_SQL, TOKENS_SQL, part_entries, part_formulas, part_indexed, table
+from axiomata.schema import FORMULA
+from axiomata.sources import corpus
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: What the searches look for.
+WANTED = "Plus[Power[v0,#-1/2],BesselJ[v1]]"
+SELECTED = ["bessel", "fraction"]
+NARROW = ["bessel", "fraction", "square-root"]
+#: Tokens a second and burst of the limiter query.
+RATE, BURST = 1 / 7200, 3
+#: Expressions of the rendering and canonical queries.
+EXAMPLES = (
+    "a*b + c", "z*y + x", "c + a*b", "a/b", "x^2", "Sqrt[x]", "(q/p)^n", "E^x", "Exp[x]", "Abs[x]", "n!", "-Infinity", "Integrate[f[x], {x, 0, t}]", "Integrate[gg, x]",
+    "Sum[1/k^2, {k, 1, Infinity}]", "BesselJ[n, x]", "Subscript[a, n]", "a <= b", "Derivative[1][f][x]", "f[", "",
+)
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+@query(f"WITH {PART_SQL} SELECT signature, count(DISTINCT entry_id) AS n_entries FROM formulas GROUP BY signature HAVING count(DISTINCT entry_id) > 1")
+def dup_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.duplicate_signatures(part_formulas(spark, sf_dir))
+
+
+@query(f"WITH {PART_SQL} SELECT count(*) AS total FROM (SELECT signature FROM formulas GROUP BY signature HAVING count(DISTINCT entry_id) > 1)")
+def dup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.duplicate_signatures(part_formulas(spark, sf_dir)).agg(F.count("*").alias("total"))
+
+
+_TOP = f"""WITH {PART_SQL}, top AS (
+  SELECT signature, count(DISTINCT entry_id) AS n_entries FROM formulas GROUP BY signature HAVING count(DISTINCT entry_id) > 1 ORDER BY n_entries DESC, signature LIMIT 25)"""
+
+
+@query(f"{_TOP} SELECT signature, n_entries, string_agg(entry_id || '.' || side, ',' ORDER BY entry_id, side) AS ids FROM top JOIN formulas USING (signature) GROUP BY signature, n_entries")
+def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = search.duplicates(part_formulas(spark, sf_dir), 25)
+    return groups.select("signature", "n_entries", F.array_join(F.transform("occurrences", lambda o: F.concat_ws(".", o["entry_id"], o["side"])), ",").alias("ids"))
+
+
+@query(
+    f"""{_TOP}, l AS (SELECT signature, list(entry_id || '.' || side ORDER BY entry_id, side) AS ids FROM top JOIN formulas USING (signature) GROUP BY signature)
+    SELECT signature[:12] || ' ×' || len(ids) || ' ' || array_to_string(ids[:6], ', ') || CASE WHEN len(ids) > 6 THEN ' (+' || (len(ids) - 6) || ' more)' ELSE '' END AS line FROM l"""
+)
+def dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.duplicate_report(search.duplicates(part_formulas(spark, sf_dir), 25))
+
+
+@query("SELECT sha256(text) AS signature, count(*) AS n_docs FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+def dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("signature"), "doc_id")
+    groups = rows.groupBy("signature").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    return groups.where("a <> b").select("signature", "n_docs")
+
+
+@query(
+    f"""WITH {PART_SQL} SELECT signature, min(entry_id) AS entry_id, 1.0::DOUBLE AS score, count(*) AS n_occurrences, string_agg(entry_id, ',' ORDER BY entry_id, side) AS ids
+    FROM formulas WHERE signature = sha256('{WANTED}') GROUP BY signature"""
+)
+def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.exact(part_formulas(spark, sf_dir), forms.signature_of(WANTED))
+    return hits.select("signature", "entry_id", "score", F.size("occurrences").cast("long").alias("n_occurrences"), F.array_join("occurrences.entry_id", ",").alias("ids"))
+
+
+def _in(facets: list[str]) -> str:
+    return ", ".join(f"'{f}'" for f in facets)
+
+
+def _matching(facets: list[str]) -> str:
+    return f"m AS (SELECT entry_id, side FROM facets WHERE facet IN ({_in(facets)}) GROUP BY entry_id, side HAVING count(DISTINCT facet) = {len(facets)})"
+
+
+@query(f"WITH {FACETS_SQL}, {_matching(SELECTED)} SELECT count(*) AS total FROM m")
+def facet_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.facets(part_indexed(spark, sf_dir), SELECTED).total
+
+
+@query(f"WITH {FACETS_SQL}, {_matching(SELECTED)} SELECT facet, count(*) AS n FROM facets SEMI JOIN m USING (entry_id, side) WHERE facet NOT IN ({_in(SELECTED)}) GROUP BY facet")
+def facet_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.facets(part_indexed(spark, sf_dir), SELECTED).refine
+
+
+@query(f"WITH {FACETS_SQL} SELECT facet, count(*) AS n FROM facets GROUP BY facet")
+def facet_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.facets(part_indexed(spark, sf_dir), []).refine
+
+
+@query(
+    f"""WITH {FACETS_SQL}, {_matching(NARROW)}, c AS (SELECT count(*) AS total FROM m)
+    SELECT signature, min(entry_id) AS entry_id, count(*) AS n_occurrences FROM formulas SEMI JOIN m USING (entry_id, side), c WHERE total <= 100000 GROUP BY signature"""
+)
+def facet_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.facets(part_indexed(spark, sf_dir), NARROW, 100_000).hits
+    return hits.select("signature", "entry_id", F.size("occurrences").cast("long").alias("n_occurrences"))
+
+
+_QUERY_TOKENS = ", ".join(f"'{t}'" for t in sorted(set(features.tokens_from(WANTED))))
+
+
+@query(
+    f"""WITH {TOKENS_SQL}, p AS (SELECT entry_id, side, len(tokens) AS length, unnest(tokens) AS tok FROM tokenized),
+    t AS (SELECT entry_id, side, length, tok, count(*) AS tf FROM p WHERE tok IN ({_QUERY_TOKENS}) GROUP BY ALL),
+    d AS (SELECT tok, count(*) AS df FROM t GROUP BY tok), s AS (SELECT count(*)::DOUBLE AS n, avg(len(tokens)) AS average FROM tokenized),
+    b AS (SELECT entry_id, side, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))), 9) AS bm25
+      FROM t JOIN d USING (tok), s GROUP BY entry_id, side ORDER BY bm25 DESC, entry_id, side LIMIT 200),
+    j AS (SELECT tokenized.*, bm25, len(list_intersect(list_distinct(tokens), [{_QUERY_TOKENS}]))::DOUBLE / len(list_distinct(list_concat(tokens, [{_QUERY_TOKENS}]))) AS score
+      FROM b JOIN tokenized USING (entry_id, side)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY score DESC, bm25 DESC, entry_id, side) AS k, count(*) OVER (PARTITION BY signature) AS n_occurrences FROM j)
+    SELECT signature, entry_id, round(score, 9) AS score, n_occurrences FROM r WHERE k = 1 ORDER BY r.score DESC, bm25 DESC, entry_id LIMIT 25"""
+)
+def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.fuzzy(part_indexed(spark, sf_dir), features.tokens_from(WANTED))
+    return hits.select("signature", "entry_id", F.round("score", 9).alias("score"), F.size("occurrences").cast("long").alias("n_occurrences"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents),
+    p AS (SELECT doc_id, length, tok, count(*) AS tf FROM (SELECT doc_id, len(ws) AS length, unnest(ws) AS tok FROM w) GROUP BY ALL),
+    q AS (SELECT DISTINCT item_id, tok FROM (SELECT item_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS tok FROM benchmark) WHERE tok <> ''),
+    d AS (SELECT tok, count(*) AS df FROM p GROUP BY tok), s AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS average FROM w),
+    b AS (SELECT item_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))), 6) AS bm25
+      FROM p JOIN q USING (tok) JOIN d USING (tok), s GROUP BY item_id, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rank FROM b)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, bm25 FROM r WHERE rank <= 10"""
+)
+def bm25_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents nearest each benchmark item."""
+    from pyspark.sql.window import Window
+
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", -1), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("ws")).withColumn("length", F.size("ws"))
+    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
+    postings = docs.select("doc_id", "length", F.explode("ws").alias("tok")).groupBy("doc_id", "length", "tok").agg(F.count("*").alias("tf"))
+    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(words("text"))).alias("tok")).distinct()
+    scores = search.bm25(postings, wanted, ["doc_id"], stats.select("n").scalar(), stats.select("average").scalar()).withColumn("bm25", F.round("bm25", 6))
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("bm25"), "doc_id")))
+    return ranked.where("rank <= 10").select("item_id", "rank", "doc_id", "bm25")
+
+
+@query(f"WITH {TOKENS_SQL} SELECT entry_id, array_to_string(list_sort(tokens), ' ') AS tokens FROM tokenized")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_indexed(spark, sf_dir).select("entry_id", F.array_join(F.sort_array("tokens"), " ").alias("tokens"))
+
+
+@query(f"WITH {FACETS_SQL} SELECT entry_id, string_agg(facet, ' ' ORDER BY facet) AS facets FROM facets GROUP BY entry_id")
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_indexed(spark, sf_dir).select("entry_id", F.array_join("facets", " ").alias("facets"))
+
+
+_LEAVES = "leaves AS (SELECT entry_id, unnest(['v0', power, 'v1', '$Pi', '$\"x,y\"', '@' || p_size, p_type, '', '#', '#9/0']) AS leaf FROM formulas)"
+
+
+def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    power = F.regexp_extract("canonical", r"(#[^\]]*)", 1)
+    size = F.concat(F.lit("@"), F.col("p_size").cast("string"))
+    sizes = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("entry_id"), "p_size")
+    rows = part_formulas(spark, sf_dir).join(sizes, "entry_id")
+    listed = F.array(F.lit("v0"), power, F.lit("v1"), F.lit("$Pi"), F.lit('$"x,y"'), size, F.col("class"), F.lit(""), F.lit("#"), F.lit("#9/0"))
+    return rows.select("entry_id", F.explode(listed).alias("leaf"))
+
+
+@query(
+    f"""WITH {PART_SQL}, {_LEAVES} SELECT entry_id, leaf, CASE WHEN leaf LIKE '$"%' THEN '$str' WHEN leaf = '' THEN '?' WHEN leaf[1] = '#' THEN '#num' WHEN leaf[1] = 'v' THEN 'var'
+    WHEN leaf[1] = '@' THEN 'slot' ELSE leaf END AS class FROM leaves"""
+)
+def generalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaves(spark, sf_dir).select("entry_id", "leaf", generalized(F.col("leaf")).alias("class"))
+
+
+@query(
+    f"""WITH {PART_SQL}, {_LEAVES}, n AS (SELECT *, TRY_CAST(regexp_extract(leaf, '^#(-?[0-9]+)(/([0-9]+))?$', 1) AS BIGINT) AS num,
+      TRY_CAST(coalesce(nullif(regexp_extract(leaf, '^#(-?[0-9]+)(/([0-9]+))?$', 3), ''), '1') AS BIGINT) AS den FROM leaves)
+    SELECT entry_id, leaf, CASE WHEN num IS NOT NULL AND den <> 0 THEN num END AS num, CASE WHEN num IS NOT NULL AND den <> 0 THEN den END AS den FROM n"""
+)
+def parse_rat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaves(spark, sf_dir).select("entry_id", "leaf", rational_of(F.col("leaf")).alias("r")).select("entry_id", "leaf", "r.num", "r.den")
+
+
+_SIDES = f"""{PART_SQL}, e AS (SELECT entry_id, CASE WHEN entry_id[-1:] IN ('0', '5') THEN ' ' ELSE label END AS lhs, canonical AS rhs FROM formulas),
+  sides AS (SELECT entry_id, 'lhs' AS side, lhs AS mma FROM e WHERE trim(lhs) <> '' UNION ALL SELECT entry_id, 'rhs', rhs FROM e WHERE trim(rhs) <> '')"""
+
+
+@query(f"WITH {_SIDES} SELECT * FROM sides")
+def unpivot_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.sides(part_entries(spark, sf_dir)).select("entry_id", "side", "mma")
+
+
+@query(
+    f"""WITH {_SIDES}, p AS (SELECT entry_id, max(CASE WHEN side = 'lhs' THEN mma END) AS lhs, max(CASE WHEN side = 'rhs' THEN mma END) AS rhs FROM sides GROUP BY entry_id)
+    SELECT entry_id, CASE WHEN lhs IS NOT NULL AND rhs IS NOT NULL THEN lhs || ' == ' || rhs ELSE coalesce(lhs, rhs, '') END AS identity_mma FROM p"""
+)
+def identity_mma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = search.entry_sides(corpus.sides(part_entries(spark, sf_dir)))
+    return pairs.select("entry_id", search.identity_mma(F.col("lhs_mma"), F.col("rhs_mma")).alias("identity_mma"))
+
+
+@query(f"WITH {PART_SQL} SELECT entry_id, signature AS rhs FROM formulas")
+def signatures_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.signatures_by_side(part_formulas(spark, sf_dir)).select("entry_id", F.col("signatures")["rhs"].alias("rhs"))
+
+
+@query("SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return search.latest(rows, ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@query(
+    """SELECT conv_id, role AS system, 'draft' AS status, sha256(text) AS proof FROM (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS k FROM conversations) WHERE k = 1"""
+)
+def proof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last turn of every conversation as the proof kept for it."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.col("role").alias("system"), F.lit("draft").alias("status"))
+    return search.latest(rows, ["conv_id"], ["turn", "text"]).select("conv_id", "system", "status", F.sha2("text", 256).alias("proof"))
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    b AS (SELECT event_id, user_id, t, k, true AS allowed, {BURST}::DOUBLE - 1 AS left_ FROM e WHERE k = 1
+      UNION ALL SELECT event_id, user_id, t, k, have >= 1, CASE WHEN have >= 1 THEN have - 1 ELSE have END
+      FROM (SELECT e.event_id, e.user_id, e.t, e.k, least({BURST}::DOUBLE, b.left_ + (e.t - b.t) / 1e6::DOUBLE * (1::DOUBLE / 7200)) AS have FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1))
+    SELECT event_id, user_id, allowed FROM b"""
+)
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return limiter.limited(rows, "user_id", "ts", "event_id", RATE, BURST).select("event_id", "user_id", "allowed")
+
+
+@query(f"WITH {PART_SQL} SELECT count(*) AS count FROM formulas")
+def stats_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_formulas(spark, sf_dir).agg(F.count("*").alias("count"))
+
+
+@query(f"WITH {PART_SQL} SELECT '1.000  ' || entry_id || '.' || side || '  ' || canonical AS line FROM formulas")
+def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = part_formulas(spark, sf_dir).withColumns({"score": F.lit(1.0), "latex": F.col("canonical")})
+    return search.hit_lines(hits)
+
+
+@query()
+def hit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hit_json(search.exact(part_formulas(spark, sf_dir), forms.signature_of(WANTED)))
+
+
+def _examples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, t) for k, t in enumerate(EXAMPLES)], "id int, mma string").withColumn("a", analyse(F.col("mma")))
+
+
+@query()
+def latex_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _examples(spark).select("id", "mma", F.col("a.side_latex").alias("latex"), F.col("a.error").alias("error"))
+
+
+@query()
+def canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _examples(spark).select("id", "mma", "a.canonical", "a.signature", F.array_join("a.facets", " ").alias("facets"))
+
+
+@query(f"WITH {PART_SQL} SELECT count(*) AS total, count(*) AS indexed, 0::BIGINT AS rejected FROM formulas")
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every derived formula through parser, canonical form, tokens, facets and LaTeX."""
+    rows = part_formulas(spark, sf_dir).select(*[c for c in FORMULA if c not in ("canonical", "signature")])
+    found = rows.withColumn("error", analyse(F.replace("mma", F.lit("#"), F.lit("")))["error"])
+    return found.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("indexed"), F.count_if(F.col("error").isNotNull()).alias("rejected"))
+
+
+@query()
+def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's probe against itself and against another engine's."""
+    probe = forms.engine_probe()
+    rows = spark.createDataFrame([("", "2"), (probe, "2"), ("x", "2"), (probe, "1")], "stored string, version string")
+    why = F.when(F.col("stored") == "", "empty").when(F.col("stored") != probe, "engine").when(F.col("version") != "2", "schema").otherwise("")
+    return rows.select("stored", "version", (why != "").alias("stale"), why.alias("reason"))
