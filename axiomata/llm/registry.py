@@ -1,6 +1,6 @@
 """The queries of this package and their oracles."""
 
-from axiomata.llm import collision_search, language_id, lm_scoring, near_dedup, packing, quality_rules, repeat_index, sanitise, url_filters
+from axiomata.llm import collision_search, language_id, lm_scoring, near_dedup, packing, piece_lattice, quality_rules, repeat_index, sanitise, url_filters
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_packing": packing.op5_packing,
     "op6_language_id": language_id.op6_language_id,
+    "op7_piece_lattice": piece_lattice.op7_piece_lattice,
     "op9_collision_search": collision_search.op9_collision_search,
     "op10_url_filters": url_filters.op10_url_filters,
 }
