@@ -91,7 +91,8 @@ class Chunked:
     def learn(self, chunks: list[str]) -> None:
         known, apart, words, others = self.known, [], set(), []
         for c in chunks:
-            word, tail = (c[:-1], c[-1]) if c[-1] in ".," and c[:-1].isalpha() else (c, "")
+            # lower case may end in a mark, which then joins what follows
+            word, tail = (c[:-1], c[-1]) if c[-1] in ".," and c[:-1].isalpha() and c[:-1].lower().isalpha() else (c, "")
             if word.isascii():
                 word = word.lower()
             if word.isalpha():

@@ -34,7 +34,10 @@ SALT = 8
 BROADCAST_ROWS = 50_000
 
 _SPAN = "array<struct<start:int,end:int,hit:string>>"
-_NONE = F.array().cast(_SPAN)
+
+
+def _none() -> Column:
+    return F.array().cast(_SPAN)
 
 
 def _each(kinds: tuple[str, ...], of: Callable[[str, Column], Column]) -> Column:
@@ -51,7 +54,7 @@ def spans(text: Column, pattern: str) -> Column:
     between = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.zip_with(between, hits, lambda b, h: F.struct(F.length(b).alias("gap"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), _NONE.alias("got"))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("got"))
 
     def step(s: Column, x: Column) -> Column:
         begin, end = s["at"] + x["gap"], s["at"] + x["gap"] + F.length(x["hit"])
@@ -84,10 +87,10 @@ def _small(part: Column) -> Column:
 def base_spans(text: Column) -> dict[str, Column]:
     """Per kind, the spans of the patterns that hold personal data."""
     found = {
-        "email": F.when(F.contains(text, F.lit("@")), spans(text, EMAIL)).otherwise(_NONE),
-        "ip": F.when(text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), spans(text, IP)).otherwise(_NONE),
-        "card": F.when(text.rlike(r"[0-9](?:[ -]?[0-9]){15}"), spans(text, CARD)).otherwise(_NONE),
-        "phone": F.when(F.contains(text, F.lit("+")), spans(text, PHONE)).otherwise(_NONE),
+        "email": F.when(F.contains(text, F.lit("@")), spans(text, EMAIL)).otherwise(_none()),
+        "ip": F.when(text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), spans(text, IP)).otherwise(_none()),
+        "card": F.when(text.rlike(r"[0-9](?:[ -]?[0-9]){15}"), spans(text, CARD)).otherwise(_none()),
+        "phone": F.when(F.contains(text, F.lit("+")), spans(text, PHONE)).otherwise(_none()),
     }
     found["ip"] = F.filter(found["ip"], lambda x: F.forall(F.split(x["hit"], r"\."), _small))
     found["card"] = F.filter(found["card"], lambda x: (F.length(digits(x["hit"])) <= 19) & luhn(digits(x["hit"])))
@@ -124,7 +127,7 @@ def found(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     marked = marked.withColumn("every", every).withColumn("around", F.when(F.size("every") > 0, around).otherwise(F.array().cast(f"array<struct<entity:string,words:{_SPAN}>>")))
     kept = scratch.keep(marked.select("row", "doc_id", *KINDS[:4], "around"))
     terms = disclosing(docs, kept, scratch)
-    return kept.drop("around").join(_handed(terms, scratch), "row", "left").withColumn("term", F.coalesce("term", _NONE))
+    return kept.drop("around").join(_handed(terms, scratch), "row", "left").withColumn("term", F.coalesce("term", _none()))
 
 
 def _handed(terms: DataFrame, scratch: Scratch) -> DataFrame:
@@ -191,7 +194,7 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     terms = found(docs, scratch, key, text).where(F.size("term") > 0).select("row", "term").dropDuplicates(["row"])
     packed = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.struct("*").alias("whole"))
     marked = packed.select("whole", "text", _row().alias("row"), *[c.alias(k) for k, c in base_spans(F.coalesce("text", F.lit(""))).items()])
-    marked = marked.join(_handed(terms, scratch), "row", "left").withColumn("term", F.coalesce("term", _NONE))
+    marked = marked.join(_handed(terms, scratch), "row", "left").withColumn("term", F.coalesce("term", _none()))
     after = F.when(F.col("text").isNotNull(), replaced(F.col("text")))
     return marked.select(F.col("whole").withField(f"`{text}`", after).alias("whole")).select("whole.*")
 
