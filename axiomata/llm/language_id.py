@@ -24,6 +24,8 @@ from axiomata.llm.tables import table
 #: Labelled rows read per language, landmarks per language, characters of a training text, languages at most.
 PER_LANGUAGE, LANDMARKS, TRAIN_CHARS, LANGUAGES = 400, 40, 4000, 200
 RIDGE = 1e-2
+#: Parts in which the rows of a language are ranked first.
+PARTS = 64
 #: Documents scored by one matrix product, and bytes of text looked up at a time.
 ROWS, STRETCH = 256, 1 << 20
 UNKNOWN = "und"
@@ -112,7 +114,9 @@ def sampled(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) ->
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     keys = labelled.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).dropDuplicates(["doc_id", "lang"])
-    # a first cut by hash keeps the sort of a large language small; the cut is far above what is taken
+    # first within parts of a language, so that a frequent one isn't ranked by one task; its smallest hashes are among its parts'
+    first = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
+    keys = keys.withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
     keys = keys.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).orderBy("k", "lang").limit(per_language * LANGUAGES)
     wanted = keys.select("doc_id", F.col("lang").alias("lang_"), "k")
     rows = labelled.join(F.broadcast(wanted), "doc_id").where(F.col("lang") == F.col("lang_"))
