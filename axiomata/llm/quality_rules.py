@@ -31,7 +31,7 @@ RULES = (
     Rule("symbols", "100 * n_symbols > 10 * n_words"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule("shouting", "100 * n_bangs > 20 * n_words"),
 )
 
@@ -178,7 +178,7 @@ m AS (
 ), b AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
-    + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 32 ELSE 0 END
+    + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END
     + CASE WHEN 100 * n_bangs > 20 * n_words THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
