@@ -29,7 +29,7 @@ PARTS = 64
 #: Documents scored by one matrix product, and bytes of text looked up at a time.
 ROWS, STRETCH = 256, 1 << 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+WORD_SIGN = re.compile(r"[^\W\d_]")
 
 #: Bytes -> 64 symbols: letters without case, all else in ASCII as a gap, the 64 high values folded to 37.
 SYMBOL = np.zeros(256, np.int32)
@@ -38,6 +38,11 @@ SYMBOL[128:] = 27 + np.arange(128) % 37
 GRAMS = 64 + 64**2 + 64**3
 
 
+def has_letter(text: str) -> bool:
+    found = WORD_SIGN.search(text)  # letters, and signs like a raised two
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def grams(symbols: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the n-grams of a symbol array, below GRAMS."""
     if len(symbols) < n:
@@ -121,7 +126,7 @@ def sampled(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) ->
     wanted = keys.select("doc_id", F.col("lang").alias("lang_"), "k")
     rows = labelled.join(F.broadcast(wanted), "doc_id").where(F.col("lang") == F.col("lang_"))
     texts = rows.select("k", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
-    return [(r["text"], r["lang"]) for r in sorted(texts, key=lambda r: (r["k"], r["lang"], r["text"])) if LETTER.search(r["text"])]
+    return [(r["text"], r["lang"]) for r in sorted(texts, key=lambda r: (r["k"], r["lang"], r["text"])) if has_letter(r["text"])]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -157,7 +162,7 @@ def identified(docs: DataFrame, learn: Column | None = None) -> DataFrame:
                 odds = np.exp(4 * (found - found.max(1, keepdims=True)))
                 sure = 1 / odds.sum(1)
                 for t, b, s in zip(some, best, sure, strict=True):
-                    known = LETTER.search(t) is not None
+                    known = has_letter(t)
                     preds.append(at.langs[b] if known else UNKNOWN)
                     scores.append(float(s) if known else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

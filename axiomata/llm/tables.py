@@ -29,7 +29,7 @@ class Scratch:
     """Intermediate tables of one job, written to the shared folder.
 
     ``keep`` writes a table and returns it as read back, which cuts the lineage: executors lost
-    later cost no recomputation. ``drop`` removes tables that no later step reads.
+    later cost no recomputation.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -42,10 +42,3 @@ class Scratch:
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                if folder.startswith(self.root.split(":", 1)[-1]) or folder.startswith(self.root) or self.root.rsplit("/", 1)[-1] in folder:
-                    path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

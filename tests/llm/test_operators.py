@@ -269,6 +269,7 @@ def test_language(shared, odd, none):
     assert all(0 <= r["score"] <= 1 for r in rows)
     by = {r["doc_id"]: r["lang_pred"] for r in language_id.identified(odd).collect()}
     assert (by[0], by[1], by[2], by[4]) == ("und", "und", "und", "en")
+    assert [language_id.has_letter(t) for t in ("", "2² _", "² a", "é")] == [False, False, True, True]
     assert language_id.identified(none).count() == 0
 
 
