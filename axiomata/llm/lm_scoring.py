@@ -166,7 +166,9 @@ class Network:
 def trained(docs: DataFrame, words: Vocabulary) -> Network:
     """A network of the SAMPLE documents with the smallest hashes of their text, SAMPLE_WORDS of each."""
     first = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), F.substring("text", 1, 12 * SAMPLE_WORDS).alias("t"))
-    texts = [r["t"] for r in first.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(SAMPLE).collect()]
+    hashes = [r["h"] for r in first.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    chosen = first.where(F.col("h") <= max(hashes, default=0)).groupBy("h").agg(F.min("t").alias("t"))
+    texts = [r["t"] for r in sorted(chosen.collect(), key=lambda r: r["h"])[:SAMPLE]]
     memory: dict[str, int] = {}
     found = [words.classes(split(t)[:SAMPLE_WORDS], memory) for t in texts]
     found = [c for c in found if len(c)]
