@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from axiomata.functions import canonical as forms
 from axiomata.functions import features
 from axiomata.functions.analysis import analyse, generalized, rational_of
+from axiomata.functions.nodes import edge_tokens, nodes
 from axiomata.operators import limiter, search
 from axiomata.plans.derived import FACETS_SQL, PART_SQL, TOKENS_SQL, part_entries, part_formulas, part_indexed, table
 from axiomata.schema import FORMULA
@@ -168,6 +169,14 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_indexed(spark, sf_dir).select("entry_id", F.array_join("facets", " ").alias("facets"))
 
 
+@query(
+    f"""WITH {TOKENS_SQL} SELECT tok, count(*) AS n FROM (SELECT unnest(tokens) AS tok FROM tokenized) WHERE tok[1:2] IN ('e:', 'p:') GROUP BY tok"""
+)
+def node_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge and path tokens, by joins of the node table."""
+    return edge_tokens(nodes(part_formulas(spark, sf_dir))).groupBy("tok").agg(F.count("*").alias("n"))
+
+
 _LEAVES = "leaves AS (SELECT entry_id, unnest(['v0', power, 'v1', '$Pi', '$\"x,y\"', '@' || p_size, p_type, '', '#', '#9/0']) AS leaf FROM formulas)"
 
 

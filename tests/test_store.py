@@ -9,7 +9,7 @@ from axiomata import cli
 from axiomata.functions import features, strings
 from axiomata.functions.canonical import canonical
 from axiomata.functions.expressions import parse
-from axiomata.operators import limiter, search
+from axiomata.operators import api, limiter, search
 from axiomata.operators.store import Store
 from axiomata.sources import corpus
 
@@ -71,6 +71,22 @@ def test_facets(store):
     assert search.facets(store.formulas, ["integral", "integral"], 10, strict=True).total.first()["total"] == 0
 
 
+def test_api(store):
+    assert api.stats(store).first()["count"] == 0
+    api.add(store, {"id": "a", "lhs": "a*b + c", "rhs": "Sin[x]"})
+    found = api.search(store, "y + x z")
+    assert found["query_canonical"] == "Plus[Times[v0,v1],v2]"
+    assert found["exact"].first()["identity_mma"] == "a*b + c == Sin[x]"
+    assert found["fuzzy"].columns == list(api.HIT)
+    assert "error" in api.search(store, "f[")
+    with pytest.raises(ValueError):
+        api.search(store, "")
+    given = api.facets(store, ["trigonometric"])
+    assert (given["selected"], given["limit"], given["total"].first()["total"], given["hits"].first()["side"]) == (["trigonometric"], 25, 1, "rhs")
+    api.put_proof(store, "a", "lean4", "rfl")
+    assert tuple(api.get_proof(store, "a").first()) == ("a", "lean4", "draft", "rfl")
+
+
 def test_proofs_and_staleness(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/p")
     assert store.stale() == (True, "no engine fingerprint recorded (empty store)")
