@@ -15,8 +15,12 @@ from axiomata.operators.limiter import Bucket
 IDLE_MS = 600_000
 
 
-def limited(requests: DataFrame, key: str, ts: str, tie: str, rate: float, burst: float) -> DataFrame:
-    """Key, tie and ``allowed`` of streamed requests; within a micro-batch in time order."""
+def limited(requests: DataFrame, key: str, ts: str, tie: str, rate: float, burst: float, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Key, tie and ``allowed`` of streamed requests; within a micro-batch in time order.
+
+    Idle buckets are dropped after ``idle_ms``, for which the stream runs batches without data; a
+    query that is to end when its input is used up takes None.
+    """
     rows = requests.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).cast("long").alias("i"))
 
     def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -29,7 +33,9 @@ def limited(requests: DataFrame, key: str, ts: str, tie: str, rate: float, burst
         batch = pd.concat(list(parts)).sort_values(["t", "i"])
         batch["allowed"] = [bucket.allow(t) for t in batch["t"].tolist()]
         state.update((bucket.tokens, bucket.at))
-        state.setTimeoutDuration(IDLE_MS)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield batch[["k", "i", "allowed"]]
 
-    return rows.groupBy("k").applyInPandasWithState(run, "k string, i long, allowed boolean", "tokens double, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("k").applyInPandasWithState(run, "k string, i long, allowed boolean", "tokens double, at long", "append", timeout)

@@ -163,7 +163,7 @@ def test_limiter_stream(spark, tmp_path):
     df = spark.createDataFrame([(i, "a", 1000.0 + i * 0.001) for i in range(3)], "i long, key string, t double").withColumn("ts", F.timestamp_seconds("t"))
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    query = streaming.limited(stream, "key", "ts", "i", 1.0, 2).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+    query = streaming.limited(stream, "key", "ts", "i", 1.0, 2, idle_ms=None).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted((r["i"], r["allowed"]) for r in spark.table("limited").collect()) == [(0, True), (1, True), (2, False)]
 
