@@ -9,7 +9,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from axiomata.functions.analysis import jaccard
 from axiomata.schema import FORMULA
