@@ -4,8 +4,13 @@ A signature is cut into TREES labels of DEPTH values. Each tree is a sorted orde
 documents next to each other there share the longest prefixes, so the order itself is as deep as
 a region needs: among many similar documents, neighbours agree in many values, elsewhere in few.
 Neighbours that share at least LEAST values are candidates, confirmed on their full shingle sets.
-The second round widens the windows among neighbours that are still in different components. The
-orders stay the same, so a third round of the same windows couldn't find anything.
+The second round widens the windows among neighbours that are still in different components.
+
+Rows that share their first LEAST values in a tree are a region. The windows cover small regions
+whole. Documents of larger ones that hold several components are joined on prefixes: in any one
+order of all shingles, two sets that are similar enough share one of the first
+n - ceil(n * PERCENT / 100) + 1 of each. Rare shingles go first, so what many documents share, as
+boilerplate, makes no pairs. So no pair of a region is left out, however dense it is.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from axiomata.llm.components import components
 from axiomata.llm.tables import Scratch, table
 
 TREES, DEPTH, LEAST = 16, 8, 4
-#: Rows on either side that are neighbours in each round.
+#: Rows on either side that are neighbours in each round; larger regions are joined on prefixes.
 WINDOWS = (2, 10)
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -33,6 +38,8 @@ TOGETHER, ROWS, SALT = 1 << 20, 200_000, 16
 BLOCK = 4_000
 #: Candidate ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Counters of the rarity that orders shingles (any order is exact); pairs made at a time.
+RARITY, PAIRS = 1 << 18, 1 << 21
 _FACTORS = np.random.default_rng(20260103).integers(0, 2**63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -130,6 +137,106 @@ def candidates(forest: DataFrame, scratch: Scratch, rows: int, percent: int, win
     return pairs.distinct()
 
 
+def dense(forest: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """rep, comp of the rows in regions of several components that windows don't cover."""
+    region = F.substring("label", 1, 4 * LEAST).alias("region")
+    sizes = forest.groupBy("tree", region).agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    large = scratch.keep(sizes.where((F.col("n") > window + 1) & (F.col("low") < F.col("high"))).select("tree", "region"))
+    rows = forest.select("tree", region, "rep", "comp")
+    if large.count() <= BROADCAST_IDS:
+        inside = rows.join(F.broadcast(large), ["tree", "region"], "left_semi")
+    else:
+        salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        inside = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int")).join(salted, ["tree", "region", "salt"], "left_semi")
+    return scratch.keep(inside.select("rep", "comp").distinct())
+
+
+def _counter(shingle: np.ndarray) -> np.ndarray:
+    return (shingle % np.uint64(RARITY)).astype(np.int64)
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(RARITY, np.int64)
+    for batch in batches:
+        for _, texts in _groups(batch, "text"):
+            for s in shingles.sets(texts):
+                np.add.at(total, _counter(s), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+
+def prefix(shingle: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, of which any set that is similar enough has one among its own."""
+    n = len(shingle)
+    return shingle[np.lexsort((shingle, rarity[_counter(shingle)]))[: n + percent * n // -100 + 1]]
+
+
+def _prefixed(rarity, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, texts in _groups(batch, "text"):
+                found = shingles.sets(texts)
+                first = [prefix(s, rarity.value, percent) for s in found]
+                times = [len(x) for x in first]
+                place = np.concatenate([np.arange(n) for n in times])
+                own = [np.repeat(batch.column(c).to_numpy()[k : k + len(found)], times) for c in ("rep", "comp")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first).view(np.int64)), *map(pa.array, own), pa.array(np.repeat([len(s) for s in found], times)), pa.array(place)], names=["shingle", "rep", "comp", "n_shingles", "place"]
+                )
+
+    return run
+
+
+def across(shingle: np.ndarray, rep: np.ndarray, comp: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of different components that share a shingle. Rows come sorted by shingle and comp.
+
+    Sets that are similar enough have ``least`` shingles in common, so after the rarest of these
+    either set has least - 1 more; a shingle at a later place can't be it.
+    """
+    n = len(rep)
+    new = np.append(shingle[1:] != shingle[:-1], True)
+    ends = lambda last: np.minimum.accumulate(np.where(last, np.arange(1, n + 1), n)[::-1])[::-1]
+    after, end = ends(new | np.append(comp[1:] != comp[:-1], True)), ends(new)
+    sums = np.cumsum(end - after)
+    k = 0
+    while k < n:
+        stop = max(k + 1, int(np.searchsorted(sums, (sums[k - 1] if k else 0) + PAIRS, "right")))
+        times = (end - after)[k:stop]
+        a = np.repeat(np.arange(k, stop), times)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(after[k:stop], times)
+        ok = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        least = -(-percent * (size[a] + size[b]) // (100 + percent))
+        ok &= (rep[a] != rep[b]) & (place[a] <= size[a] - least) & (place[b] <= size[b] - least)
+        a, b = rep[a[ok]], rep[b[ok]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        yield pairs[0], pairs[1]
+        k = stop
+
+
+def _across(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            whole = pa.Table.from_batches(got)
+            for a, b in across(*(whole[c].to_numpy() for c in ("shingle", "rep", "comp", "n_shingles", "place")), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def prefix_pairs(inside: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components among ``inside`` (rep, comp) that can be similar enough."""
+    spark = docs.sparkSession
+    few = inside.count() <= BROADCAST_IDS
+    texts = scratch.keep(docs.withColumnRenamed("doc_id", "rep").join(F.broadcast(inside) if few else inside, "rep").dropDuplicates(["rep", "text"]).select("rep", "comp", "text"))
+    tally = texts.select("text").mapInArrow(_tallied, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(RARITY, np.int64)
+    rarity[tally["at"].to_numpy()] = tally["n"].to_numpy()
+    rows = scratch.keep(texts.mapInArrow(_prefixed(spark.sparkContext.broadcast(rarity), percent), "shingle long, rep long, comp long, n_shingles long, place long"))
+    dealt = rows.repartition(max(1, -(-rows.count() // ROWS)), "shingle").sortWithinPartitions("shingle", "comp")
+    return dealt.mapInArrow(_across(percent), "a long, b long").distinct()
+
+
 def _confirmed(percent: int):
     """Rows come sorted by block, its documents first (other is null); then its pairs."""
 
@@ -194,15 +301,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     cut = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("signature"), t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label")))
     rows = nodes.count() * TREES
     links = roots = None
-    for window in zip((0, *WINDOWS), WINDOWS, strict=False):
+
+    def planted() -> DataFrame:
         if roots is None:
             placed = nodes.withColumn("comp", F.col("rep"))
         else:
             placed = nodes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
-        forest = placed.select(F.explode(cut).alias("t"), "rep", "comp", "n_shingles").select("t.tree", "t.label", "rep", "comp", "n_shingles")
-        found = confirmed(scratch.keep(candidates(forest, scratch, rows, percent, window)), docs, scratch, percent)
+        return placed.select(F.explode(cut).alias("t"), "rep", "comp", "n_shingles").select("t.tree", "t.label", "rep", "comp", "n_shingles")
+
+    for window in zip((0, *WINDOWS), WINDOWS, strict=False):
+        found = confirmed(scratch.keep(candidates(planted(), scratch, rows, percent, window)), docs, scratch, percent)
         links = found if links is None else links.unionByName(found)
         roots = components(links, scratch)
+    inside = dense(planted(), scratch, WINDOWS[-1])
+    if not inside.isEmpty():
+        found = confirmed(scratch.keep(prefix_pairs(inside, docs, scratch, percent)), docs, scratch, percent)
+        links = links.unionByName(found)
+        roots = components(links, scratch)
     named = reps.join(roots, reps.rep == roots.id, "left").select("digest", F.coalesce("root", "rep").alias("comp"))
     spread = salted.select("digest", "salt").join(named, "digest")
     own = members.join(spread, ["digest", "salt"], "left")
