@@ -4,12 +4,14 @@ A window network predicts every word from the words on both sides of it. Words a
 all documents; the most frequent have classes of their own, the others share classes by their
 ending, and a word of a shared class adds the mean log-share of that class's words, by their counts.
 The network, embeddings by position, one hidden layer, and a softmax over the classes, is trained
-in numpy on a bounded sample of documents. A document's score is the sum over its words of the
+in numpy on a bounded sample of documents first. From there every task goes on over the whole texts
+of all its documents, and the tasks' networks are averaged by their words. A document's score is the sum over its words of the
 logarithm of the class's probability given both sides, and of that share.
 """
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,7 +25,7 @@ from axiomata.llm.tables import Scratch, table
 
 #: Frequent words with classes of their own; classes of other words; words seen on either side; sizes of the layers.
 FREQUENT, SHARED, SIDE, WIDTH, HIDDEN = 160, 32, 2, 12, 24
-#: Documents and words of each that the network is trained on; passes; step; words per step.
+#: Documents and words of each that the network starts from; passes over them; step; words per step.
 SAMPLE, SAMPLE_WORDS, PASSES, STEP, TOGETHER = 2000, 200, 3, 0.05, 512
 #: Words scored by one matrix product.
 ROWS = 8192
@@ -107,6 +109,8 @@ def windows(classes: np.ndarray) -> np.ndarray:
 class Network:
     """Embeddings of the words on both sides, a hidden layer, a softmax over the classes."""
 
+    names = ("embedding", "into", "bias", "out", "prior")
+
     def __init__(self):
         rng = np.random.default_rng(SEED)
         normal = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -115,6 +119,7 @@ class Network:
         self.bias = np.zeros(HIDDEN, np.float32)
         self.out = normal(HIDDEN, CLASSES)
         self.prior = np.zeros(CLASSES, np.float32)
+        self.squares = {n: np.full(getattr(self, n).shape, 1e-6, np.float32) for n in self.names}
 
     def layers(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         seen = self.embedding[around].reshape(len(around), -1)
@@ -140,30 +145,83 @@ class Network:
     def train(self, around: np.ndarray, target: np.ndarray) -> Network:
         counts = np.bincount(target, minlength=CLASSES) + 1.0
         self.prior = np.log(counts / counts.sum()).astype(np.float32)
-        names = ("embedding", "into", "bias", "out", "prior")
-        squares = {n: np.full(getattr(self, n).shape, 1e-6, np.float32) for n in names}
         rng = np.random.default_rng(SEED + 1)
         for _ in range(PASSES):
-            order = rng.permutation(len(target))
-            for k in range(0, len(order), TOGETHER):
-                at = order[k : k + TOGETHER]
-                seen, hidden, raw = self.layers(around[at])
-                error = np.exp(raw)
-                error /= error.sum(axis=1, keepdims=True)
-                error[np.arange(len(at)), target[at]] -= 1
-                error /= len(at)
-                back = (error @ self.out.T) * (1 - hidden * hidden)
-                wide = (back @ self.into.T).reshape(len(at), 2 * SIDE, WIDTH)
-                embedding = np.zeros_like(self.embedding)
-                np.add.at(embedding, around[at], wide)
-                slopes = {"embedding": embedding, "into": seen.T @ back, "bias": back.sum(0), "out": hidden.T @ error, "prior": error.sum(0)}
-                for n in names:  # Adagrad
-                    squares[n] += slopes[n] ** 2
-                    setattr(self, n, getattr(self, n) - np.float32(STEP) * slopes[n] / np.sqrt(squares[n]))
+            self.passed(around, target, rng)
+        return self
+
+    def passed(self, around: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over some words."""
+        order = rng.permutation(len(target))
+        for k in range(0, len(order), TOGETHER):
+            at = order[k : k + TOGETHER]
+            seen, hidden, raw = self.layers(around[at])
+            error = np.exp(raw)
+            error /= error.sum(axis=1, keepdims=True)
+            error[np.arange(len(at)), target[at]] -= 1
+            error /= len(at)
+            back = (error @ self.out.T) * (1 - hidden * hidden)
+            wide = (back @ self.into.T).reshape(len(at), 2 * SIDE, WIDTH)
+            embedding = np.zeros_like(self.embedding)
+            np.add.at(embedding, around[at], wide)
+            slopes = {"embedding": embedding, "into": seen.T @ back, "bias": back.sum(0), "out": hidden.T @ error, "prior": error.sum(0)}
+            for n in self.names:  # Adagrad
+                self.squares[n] += slopes[n] ** 2
+                setattr(self, n, getattr(self, n) - np.float32(STEP) * slopes[n] / np.sqrt(self.squares[n]))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([getattr(self, n).ravel() for n in self.names])
+
+    def filled(self, flat: np.ndarray) -> Network:
+        at = 0
+        for n in self.names:
+            was = getattr(self, n)
+            setattr(self, n, flat[at : at + was.size].reshape(was.shape).astype(np.float32))
+            at += was.size
         return self
 
 
+def _continued(start, words):
+    """A task's documents -> the numbers of its network after a pass over all their words, times how many words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, memory, rng, total = copy.deepcopy(start.value), {}, np.random.default_rng(SEED + 2), 0
+        some: list[np.ndarray] = []
+
+        def go() -> int:
+            if some:
+                net.passed(np.concatenate([windows(c) for c in some]), np.concatenate(some), rng)
+            done = sum(map(len, some))
+            some.clear()
+            return done
+
+        for batch in batches:
+            for text in batch.column("text"):
+                c = words.value.classes(split(text.as_py()), memory)
+                if len(c):
+                    some.append(c)
+                if sum(map(len, some)) >= ROWS:
+                    total += go()
+        total += go()
+        if total:
+            flat = net.flat().astype(np.float64) * total
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), total))], names=["at", "sum", "n"])
+
+    return run
+
+
 def trained(docs: DataFrame, words: Vocabulary) -> Network:
+    """A network of all words of all documents: every task goes on from ``started``, and the results are averaged."""
+    net = started(docs, words)
+    spread = docs.sparkSession.sparkContext.broadcast
+    each = docs.select("text").mapInArrow(_continued(spread(net), spread(words)), "at long, sum double, n long")
+    got = each.groupBy("at").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).orderBy("at").toArrow()
+    if got.num_rows:  # rounded, so that the order of a sum doesn't show
+        net.filled(np.round(got["sum"].to_numpy() / got["n"].to_numpy(), 6))
+    return net.settle()
+
+
+def started(docs: DataFrame, words: Vocabulary) -> Network:
     """A network of the SAMPLE documents with the smallest hashes of their text, SAMPLE_WORDS of each."""
     first = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), F.substring("text", 1, 12 * SAMPLE_WORDS).alias("t"))
     hashes = [r["h"] for r in first.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
@@ -175,7 +233,7 @@ def trained(docs: DataFrame, words: Vocabulary) -> Network:
     net = Network()
     if found:
         net.train(np.concatenate([windows(c) for c in found]), np.concatenate(found))
-    return net.settle()
+    return net
 
 
 def _scored(net: Network, words: Vocabulary):

@@ -1,0 +1,15 @@
+"""The network learns from all words of all documents."""
+
+import numpy as np
+
+from axiomata.llm import lm_scoring
+
+
+def test_words_beyond_the_sample(shared):
+    start = "a b " * 120
+    rows = [(k, start + f"n{k} " + "c d " * 3_000) for k in range(24)]
+    docs = shared.createDataFrame(rows, "doc_id long, text string")
+    words = lm_scoring.Vocabulary({"a": 0, "b": 1, "c": 2, "d": 3}, np.zeros(lm_scoring.CLASSES))
+    data = words.classes(["c", "d"] * 200, {})
+    found = lm_scoring.trained(docs, words).log_probability(lm_scoring.windows(data), data)
+    assert found.mean() > np.log(0.5)
