@@ -32,8 +32,6 @@ Z = 2.58
 PRIOR_WEIGHT, REJECT = 10.0, 0.5
 #: Rows of a template are spread over so many join keys, since one template may hold much of the table.
 SALT = 16
-#: Segments of a path that the tree distinguishes; what lies deeper counts to its branch at this depth.
-DEPTH = 8
 
 
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -57,7 +55,7 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
 def segments() -> Column:
     """The generalised segments of ``path``: variable ones become ``*``."""
     some = F.filter(F.split(F.col("path"), "/", -1), lambda s: s != "")
-    return F.slice(F.transform(some, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s)), 1, DEPTH)
+    return F.transform(some, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 
 def template_rates(paths: DataFrame) -> DataFrame:
