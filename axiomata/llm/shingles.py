@@ -15,11 +15,11 @@ SHINGLE = 5
 STRETCH = 1 << 19
 
 _rng = np.random.default_rng(20260102)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUE = _rng.integers(0, 2**64, 256, np.uint64)[_LOWER]
+_VALUE = _rng.integers(0, 2**64, 256, np.uint64)[LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = _rng.integers(0, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,9 +41,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, number) of each word of a byte array."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, number) of each word of a byte array."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at = 0
     while at < len(raw):
         end = min(len(raw), at + STRETCH)
@@ -61,17 +61,18 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_VALUE[part] * _power("up", _BASE, len(part)), out=sums[1:])
         number = (sums[last] - sums[first]) * _power("down", _BACK, len(part) + 1)[first]
-        found.append((first + at, mixed(number + (last - first).astype(np.uint64))))
+        found.append((first + at, last + at, mixed(number + (last - first).astype(np.uint64))))
         at = end
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    first, last, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    return first, last, number
 
 
 def sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle numbers of each text; a text of under ``n`` words has one shingle, one without words none."""
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
-    first, number = words(raw)
+    first, _, number = words(raw)
     ends = np.cumsum([len(t) + 1 for t in texts])
     cut = np.concatenate([[0], np.searchsorted(first, ends)])
     whole = np.zeros(max(0, len(number) - n + 1), np.uint64)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axiomata.llm import collision_search, language_id, lm_scoring, near_dedup, packing, piece_lattice, quality_rules, repeat_index, sanitise, shingles, url_filters
+from axiomata.llm import collision_search, language_id, near_dedup, packing, piece_lattice, quality_rules, repeat_index, sanitise, shingles, url_filters
 from axiomata.llm.components import components, labels
 from axiomata.llm.tables import Scratch
 
@@ -322,30 +322,6 @@ def test_url_filters(shared):
     assert url_filters.filtered(pages.limit(0), labels_.limit(0)).count() == 0
 
 
-# scoring
-
-
-def test_scoring(docs, odd, none):
-    rows = {r["doc_id"]: r for r in lm_scoring.scored(odd).collect()}
-    assert (rows[0]["n_words"], rows[0]["sum_log_prob"], rows[0]["mean_log_prob"]) == (0, 0.0, None)
-    assert rows[5]["sum_log_prob"] == pytest.approx(rows[6]["sum_log_prob"])
-    assert lm_scoring.scored(none).count() == 0
-    vocabulary = lm_scoring.Vocabulary({"a": 0, "b": 1}, np.zeros(lm_scoring.CLASSES))
-    data = vocabulary.classes(["a", "b"] * 500, {})
-    around = lm_scoring.windows(data)
-    net = lm_scoring.Network().train(np.tile(around, (6, 1)), np.tile(data, 6)).settle()
-    found = net.log_probability(around, data)
-    _, _, raw = net.layers(around)
-    whole = raw - np.log(np.exp(raw).sum(axis=1, keepdims=True))
-    assert found == pytest.approx(whole[np.arange(len(data)), data], abs=1e-4)
-    assert found.mean() > -0.6 > np.log(0.5)
-
-
-def test_scoring_prefers_natural_order(docs):
-    found = lm_scoring.scored(docs.where("lang = 'en'"))
-    assert found.where("n_words > 0 and not (mean_log_prob < 0)").count() == 0
-
-
 # pieces
 
 
