@@ -11,46 +11,50 @@ form a context of at most 2 * LENGTH - GRAM bytes.
    of the anchor. Most contexts end there: unique, or equal to one in a smaller document.
 3. Where contexts of an anchor differ, as at the ends of a repeat, the smallest document of each
    sends its bytes. Their bucket builds a run-length compressed Burrows-Wheeler transform over
-   them, whose intervals of depth LENGTH give each window its smallest document: the places
-   where matching statistics reach LENGTH.
+   them, sampled at both ends of each run. From these samples alone it streams matching statistics: how long the match with the neighbour in suffix order is, and
+   where that is. Matches of LENGTH chain the windows that are equal, and mark those that occur in
+   a smaller document.
 4. Batches turn both answers into removed bytes.
 
+An anchor with very many contexts, as a common phrase has, would put them all into one bucket.
+Its windows are dealt out each by its own hash, as anchors with one context.
+
 Everything is exchanged as packed arrays, copies shrink to one row per batch before each exchange.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axiomata.llm.exchange import GATHERED, NO_ID, REPLY, SENT, Batch, answers, by_batch, by_bucket, gathered, narrow, packed_ids, reply, sent, to_batches, to_buckets, unpacked_ids, widened
 from axiomata.llm.shingles import mixed
 from axiomata.llm.tables import Scratch, table
 
 LENGTH, GRAM = 50, 22
 #: Bytes of text in a batch, hashed together, and behind one bucket.
 BATCH, STRETCH, BUCKET = 4 << 20, 1 << 20, 12 << 20
-#: Null ids come after all others.
-NO_ID = np.iinfo(np.int64).max
+#: An anchor is hot from so many contexts, and from one of so many of all; there are never more hot ones than that. A batch reports anchors from LOCAL contexts.
+HOT, HOT_PART, LOCAL = 50_000, 1_000_000, 4
 
 _rng = np.random.default_rng(20260104)
 _VALUE = _rng.integers(0, 2**64, 256, np.uint64)
 _BASE, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _UP, _DOWN = (np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(STRETCH + 4 * LENGTH, b))]) for b in (_BASE, _BACK))
 _LOCAL = np.uint64((1 << 24) - 1)
+NO_HOT = np.empty(0, np.uint64)
 
 
 class Anchors:
     """The anchors of a batch of texts, in text order: windows first..last share one."""
 
-    def __init__(self, raw: np.ndarray, lengths: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, raw: np.ndarray, lengths: np.ndarray, hot: np.ndarray = NO_HOT, length: int = LENGTH, gram: int = GRAM):
         ends = np.cumsum(lengths)
         closed = np.zeros(len(raw) + 1, np.int32)  # windows that would leave their text
         np.add.at(closed, np.maximum(ends - length + 1, ends - lengths), 1)
@@ -60,6 +64,8 @@ class Anchors:
         parts = [p for p in parts if p is not None]
         empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
         self.first, self.last, self.key, self.context = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
+        if len(hot):
+            self._apart(raw, np.isin(self.key, hot), length)
         self.doc = np.searchsorted(ends, self.first, "right")
 
     @staticmethod
@@ -86,6 +92,44 @@ class Anchors:
         context = (sums[last + length] - sums[first]) * _DOWN[first] + ((last - first) * 64 + (anchor - first)).astype(np.uint64)
         return first + at, last + at, mixed(hashes[anchor] + np.uint64(1)) >> np.uint64(24), mixed(context) >> np.uint64(16)
 
+    def _apart(self, raw: np.ndarray, hot: np.ndarray, length: int) -> None:
+        """Windows of hot anchors become anchors of their own, named by their hash."""
+        times = (self.last - self.first + 1)[hot]
+        window = np.repeat(self.first[hot] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        own = np.zeros(len(window), np.uint64)
+        for k in range(length):
+            own += _VALUE[raw[window + k]] * _UP[k]
+        key, context = mixed(own + np.uint64(2)) >> np.uint64(24), mixed(own + np.uint64(3)) >> np.uint64(16)
+        columns = [(self.first, window), (self.last, window), (self.key, key), (self.context, context)]
+        joined = [np.concatenate([old[~hot], new]) for old, new in columns]
+        order = np.argsort(joined[0], kind="stable")
+        self.first, self.last, self.key, self.context = (x[order] for x in joined)
+
+
+def busy(anchors: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors with LOCAL contexts or more in a batch, how many)."""
+    order = np.lexsort((anchors.context, anchors.key))
+    k, c = anchors.key[order], anchors.context[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    key, n = np.unique(k[new], return_counts=True)
+    return key[n >= LOCAL], n[n >= LOCAL]
+
+
+def _busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload in batch.column("payload"):
+            texts = Batch.unpacked(payload.as_py())
+            key, n = busy(Anchors(texts.raw, texts.lengths))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+
+def hot_anchors(texts: DataFrame, size: int, least: int = HOT) -> np.ndarray:
+    """Anchors that would overload a bucket; HOT_PART of them at most."""
+    least = max(least, size // 16 // HOT_PART)
+    found = texts.select("payload").mapInArrow(_busy, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["key"] for r in found.select("key").collect()], np.int64).view(np.uint64))
+
 
 class Rows:
     """The distinct (bucket, anchor, context) of a batch, each with its smallest document."""
@@ -104,111 +148,29 @@ class Rows:
         self.cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
 
 
-def _bytes(x: np.ndarray, width: int) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _numbers(raw: bytes, width: int, n: int) -> np.ndarray:
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(raw, np.uint8, n * width).reshape(n, width)
-    return wide.view("<u8").ravel()
-
-
-def _with_ids(ids: np.ndarray) -> bytes:
-    """Ids as distances from the smallest, as narrow as they go."""
-    low = int(ids.min()) if len(ids) else 0
-    far = (ids.astype(np.int64) - low).astype(np.uint64)
-    most = int(far.max()) if len(ids) else 0
-    width = next(w for w in (1, 2, 3, 4, 6, 8) if most < 256**w)
-    return np.array([low, width], "<i8").tobytes() + _bytes(far, width)
-
-
-def _ids_of(raw: bytes, n: int) -> np.ndarray:
-    low, width = np.frombuffer(raw, "<i8", 2).tolist()
-    return (_numbers(raw[16:], width, n).astype(np.int64) + low).astype(np.int64)
-
-
 def pack_rows(key: np.ndarray, context: np.ndarray, doc: np.ndarray) -> bytes:
-    return _bytes(key, 5) + _bytes(context, 6) + _with_ids(doc)
+    return narrow(key, 5) + narrow(context, 6) + packed_ids(doc)
 
 
 def unpack_rows(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _numbers(raw, 5, n), _numbers(raw[5 * n :], 6, n), _ids_of(raw[11 * n :], n)
-
-
-class Batch:
-    """Some whole texts: ids, lengths and bytes, and what else their rows carry."""
-
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, raw: bytes, carried: np.ndarray, more: bytes):
-        self.ids, self.lengths, self.raw = ids, lengths, np.frombuffer(raw, np.uint8)
-        self.carried, self.more = carried, more
-
-    def packed(self) -> bytes:
-        head = np.concatenate([[len(self.ids)], self.ids, self.lengths, self.carried]).astype("<i8").tobytes()
-        return zstandard.ZstdCompressor(level=3).compress(head + self.more + self.raw.tobytes())
+    return widened(raw, 5, n), widened(raw[5 * n :], 6, n), unpacked_ids(raw[11 * n :], n)
 
-    @classmethod
-    def unpacked(cls, payload: bytes) -> Batch:
-        raw = zstandard.ZstdDecompressor().decompress(payload)
-        n = int(np.frombuffer(raw, "<i8", 1)[0])
-        ids, lengths, carried = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
-        text = 8 + 24 * n + int(carried.sum())
-        return cls(ids, lengths, raw[text:], carried, raw[8 + 24 * n : text])
 
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, ids, texts, more, size = TaskContext.get().partitionId() << 32, [], [], [], 0
-
-    def row() -> pa.RecordBatch:
-        sizes = [np.array([len(t) for t in x], np.int64) for x in (texts, more)]
-        made = Batch(np.array(ids, np.int64), sizes[0], b"".join(texts), sizes[1], b"".join(more))
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([made.packed()], pa.binary())], names=["batch", "size", "payload"])
-
-    for batch in batches:
-        for key, text, rest in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("carried"), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "replace")
-            ids.append(NO_ID if key is None else key)
-            texts.append(raw)
-            more.append((rest.as_py() or "").encode())
-            size += len(raw) + 16
-            if size >= BATCH:
-                yield row()
-                at, ids, texts, more, size = at + 1, [], [], [], 0
-    if ids:
-        yield row()
-
-
-def _sent(buckets: int):
+def _sent(buckets: int, hot):
     """Batches -> a blob of rows for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, payload in zip(batch.column("batch").to_pylist(), batch.column("payload"), strict=True):
                 texts = Batch.unpacked(payload.as_py())
-                rows = Rows(Anchors(texts.raw, texts.lengths), texts.ids, buckets)
+                rows = Rows(Anchors(texts.raw, texts.lengths, hot.value), texts.ids, buckets)
                 full = np.flatnonzero(np.diff(rows.cuts))
-                spans = [(rows.cuts[b], rows.cuts[b + 1]) for b in full]
-                blobs = [pack_rows(rows.key[i:j], rows.context[i:j], rows.doc[i:j]) for i, j in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([at] * len(full), pa.int64()), pa.array([int(j - i) for i, j in spans], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "n", "blob"]
-                )
+                spans = [(int(rows.cuts[b]), int(rows.cuts[b + 1])) for b in full]
+                yield sent(at, full, [j - i for i, j in spans], [pack_rows(rows.key[i:j], rows.context[i:j], rows.doc[i:j]) for i, j in spans])
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
-    at, got = None, []
-    for batch in batches:
-        for bucket, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "batch", "n", "blob")), strict=True):
-            if bucket != at and got:
-                yield at, got
-                got = []
-            at = bucket
-            got.append(tuple(rest))
-    if got:
-        yield at, got
-
-
 UNIQUE, COVERED, DIFFERS = 0, 1, 2
 
 
@@ -229,103 +191,120 @@ def statuses(key: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarra
     return out
 
 
-_REPLY = ["batch", "kind", "bucket", "payload"]
-
-
-def _reply(kind: int, bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    press = zstandard.ZstdCompressor(level=1).compress
-    columns = [pa.array([b for b, _ in rows], pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array([press(x) for _, x in rows], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=_REPLY)
+#: Kinds of answers: statuses of contexts, and windows marked in contexts that differ.
+STATUS, MARKED = 0, 1
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, got in _by_bucket(batches):
+    for bucket, got in by_bucket(batches):
         parts = [unpack_rows(blob, n) for _, n, blob in got]
         found = statuses(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         cuts = np.cumsum([0] + [n for _, n, _ in got])
-        yield _reply(0, bucket, [(at, found[i:j].tobytes()) for (at, _, _), i, j in zip(got, cuts[:-1], cuts[1:], strict=True)])
+        yield reply(STATUS, bucket, [(at, found[i:j].tobytes()) for (at, _, _), i, j in zip(got, cuts[:-1], cuts[1:], strict=True)])
+
+
+def suffix_order(text: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """All places of some texts in the order of the suffixes that start there; each ends with its text, and of equal ones the earlier text's comes first."""
+    n, depth = len(text), 7
+    left = np.repeat(np.cumsum(widths), widths) - np.arange(n)  # bytes to the end of the own text
+    padded = np.concatenate([text, np.zeros(depth, np.uint8)])
+    key = np.zeros(n, np.uint64)
+    for k in range(depth):
+        key = (key << np.uint64(8)) | np.where(left > k, padded[k : k + n], 0).astype(np.uint64)
+    key = (key << np.uint64(8)) | np.minimum(left, depth).astype(np.uint64)
+    longest = int(widths.max(initial=0))
+    while depth < longest:
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        after = np.zeros(n, np.uint64)
+        inside = np.flatnonzero(left > depth)
+        after[inside] = rank[inside + depth] + np.uint64(1)
+        key = (rank << np.uint64(32)) | after
+        depth *= 2
+    return np.argsort(key, kind="stable")
 
 
 class RunIndex:
-    """A run-length compressed Burrows-Wheeler transform over contexts, ordered to LENGTH bytes.
+    """A run-length compressed Burrows-Wheeler transform over some contexts, sampled at the ends of its runs.
 
-    The suffixes are the windows of the contexts. Their order comes from ranks of 8-byte strings,
-    doubled until they cover LENGTH bytes. A run is a stretch of equal preceding bytes; the index
-    keeps each run's byte, its place, and the window at its end. ``interval`` numbers the stretches
-    of windows with a common prefix of LENGTH bytes, where matching statistics reach LENGTH.
+    A run is a stretch of suffixes, in their order, that the same byte precedes; a context's start
+    is preceded by an end of its own, so it is a run alone. Kept of each run are the places in the
+    text of its first and last suffix, which is all that matching needs; of the suffix order
+    nothing else is kept.
     """
 
-    def __init__(self, contexts: list[np.ndarray] | np.ndarray, widths: np.ndarray, length: int = LENGTH):
-        text = contexts if isinstance(contexts, np.ndarray) else np.concatenate(contexts)
-        n = len(text)
-        padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
-        rank = np.zeros(n + length, np.uint64)
-        for k in range(8):
-            rank = (rank << np.uint64(8)) | padded[k : k + n + length]
-        depth = 8
-        while depth < length:
-            rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-            step = min(depth, length - depth)
-            rank = np.concatenate([(rank[:-step] << np.uint64(32)) | rank[step:], np.zeros(step, np.uint64)])
-            depth += step
-        ends = np.cumsum(widths)
-        opens = np.arange(n) + length <= np.repeat(ends, widths)
-        self.starts = np.flatnonzero(opens)
-        self.owner = np.repeat(np.arange(len(widths)), widths)[self.starts]
-        order = np.argsort(rank[self.starts], kind="stable")
-        sorted_rank = rank[self.starts][order]
-        self.order = order
-        self.interval = np.concatenate([[0], np.cumsum(sorted_rank[1:] != sorted_rank[:-1])])
-        before = np.where(self.starts > (ends - widths)[self.owner], text[self.starts - 1], 0)[order]
-        heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        self.run_byte, self.run_start = before[heads], heads
-        self.run_sample = self.starts[order[np.append(heads[1:], len(order)) - 1]]
-
-    def smallest(self, doc: np.ndarray) -> np.ndarray:
-        """Per window, the smallest of the documents in whose context it occurs (``doc`` is by context)."""
-        cuts = np.flatnonzero(np.concatenate([[True], self.interval[1:] != self.interval[:-1]]))
-        low = np.minimum.reduceat(doc[self.owner[self.order]], cuts)
-        out = np.empty(len(self.order), doc.dtype)
-        out[self.order] = low[self.interval]
+    END = 256
+
+    def __init__(self, text: np.ndarray, widths: np.ndarray):
+        self.text, self.widths = text, widths
+        order = suffix_order(text, widths)
+        self.opens = np.cumsum(widths) - widths
+        before = np.roll(text.astype(np.int16), 1)
+        before[self.opens[widths > 0]] = self.END
+        before = before[order]
+        heads = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == self.END)])[: len(order)])
+        self.run_head = order[heads]
+        self.run_end = order[np.append(heads[1:], len(order))[: len(heads)] - 1]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of the common prefixes of suffixes at ``a`` and ``b``."""
+        ends = np.repeat(np.cumsum(self.widths), self.widths)
+        most = np.minimum(ends[a] - a, ends[b] - b)
+        out = np.zeros(len(a), np.int64)
+        alive = np.flatnonzero(most > 0)
+        while len(alive):
+            same = self.text[a[alive] + out[alive]] == self.text[b[alive] + out[alive]]
+            alive = alive[same]
+            out[alive] += 1
+            alive = alive[out[alive] < most[alive]]
         return out
 
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every place, streamed through the text: where the suffix before it in suffix order starts, and their common length.
+
+        Between runs that is known from the samples: the last suffix of one run comes before the
+        first of the next. Within a run the neighbours are preceded by the same byte, so both
+        neighbours of the place one byte earlier have moved on by one, and match one byte less.
+        """
+        n = len(self.text)
+        before, length = np.arange(n), np.zeros(n, np.int64)
+        at, source = self.run_head[1:], self.run_end[:-1]
+        before[at], length[at] = source, self.common(at, source)
+        sampled = np.zeros(n, np.int64)
+        sampled[self.run_head] = self.run_head
+        near = np.maximum.accumulate(sampled)
+        moved = np.arange(n) - near
+        return before[near] + moved, length[near] - moved
+
 
 def covered_windows(text: np.ndarray, widths: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Per context, a bit for each of its windows that occurs in one of a smaller document."""
-    index = RunIndex(text, widths, length)
-    hit = index.smallest(doc) < doc[index.owner]
-    at = index.starts - (np.cumsum(widths) - widths)[index.owner]
+    index = RunIndex(text, widths)
+    before, matched = index.matching_statistics()
+    n = len(text)
+    first = np.where(matched >= length, before, np.arange(n))
+    while True:  # along the chain of equal windows to its first
+        jump = first[first]
+        if (jump == first).all():
+            break
+        first = jump
+    owner = np.repeat(np.arange(len(widths)), widths)
+    open_ = np.flatnonzero(np.arange(n) - index.opens[owner] + length <= widths[owner])
+    lowest = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, first[open_], doc[owner[open_]])
+    hit = open_[lowest[first[open_]] < doc[owner[open_]]]
     out = np.zeros(len(widths), np.uint64)
-    np.bitwise_or.at(out, index.owner[hit], np.uint64(1) << at[hit].astype(np.uint64))
+    np.bitwise_or.at(out, owner[hit], np.uint64(1) << (hit - index.opens[owner[hit]]).astype(np.uint64))
     return out
 
 
-def _answers(replies: list[tuple[int, int, bytes]], kind: int, dtype: str) -> np.ndarray:
-    press = zstandard.ZstdDecompressor().decompress
-    mine = sorted((b, x) for k, b, x in replies if k == kind)
-    return np.concatenate([np.frombuffer(press(x), dtype) for _, x in mine]) if mine else np.empty(0, dtype)
-
-
-def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Batch, list]]:
-    """Rows sorted by batch and kind: answers (0, 1), then the texts (2)."""
-    replies: list[tuple[int, int, bytes]] = []
-    for batch in batches:
-        for at, kind, bucket, payload in zip(*(batch.column(c).to_pylist() for c in ("batch", "kind", "bucket")), batch.column("payload"), strict=True):
-            if kind < 2:
-                replies.append((kind, bucket, payload.as_py()))
-            else:
-                yield at, Batch.unpacked(payload.as_py()), replies
-                replies = []
-
-
-def _literal(buckets: int):
+def _literal(buckets: int, hot):
     """Batches and statuses -> for each bucket, the bytes of contexts that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, texts, replies in _by_batch(batches):
-            anchors = Anchors(texts.raw, texts.lengths)
+        for at, texts, replies in by_batch(batches):
+            anchors = Anchors(texts.raw, texts.lengths, hot.value)
             rows = Rows(anchors, texts.ids, buckets)
-            status = _answers(replies, 0, "u1")
+            status = answers(replies, STATUS, "u1")
             some = np.flatnonzero(status == DIFFERS)
             cuts = np.searchsorted(rows.bucket[some], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
@@ -337,17 +316,17 @@ def _literal(buckets: int):
                 blobs.append(_literals(widths, texts.raw[at_byte], texts.ids[anchors.doc[one]]))
                 ns.append(len(one))
             if len(full):
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([at] * len(full), pa.int64()), pa.array(ns, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "n", "blob"])
+                yield sent(at, full, ns, blobs)
 
     return run
 
 
 def _literals(widths: np.ndarray, raw: np.ndarray, doc: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(widths.astype("<u1").tobytes() + raw.tobytes() + _with_ids(doc))
+    return zstandard.ZstdCompressor(level=1).compress(widths.astype("<u1").tobytes() + raw.tobytes() + packed_ids(doc))
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, got in _by_bucket(batches):
+    for bucket, got in by_bucket(batches):
         texts, widths, docs = [], [], []
         for _, n, blob in got:
             raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -355,15 +334,15 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = int(w.sum())
             widths.append(w)
             texts.append(np.frombuffer(raw, np.uint8, size, n))
-            docs.append(_ids_of(raw[n + size :], n))
+            docs.append(unpacked_ids(raw[n + size :], n))
         bits = covered_windows(np.concatenate(texts), np.concatenate(widths), np.concatenate(docs))
         cuts = np.cumsum([0] + [n for _, n, _ in got])
-        yield _reply(1, bucket, [(at, bits[i:j].astype("<u4").tobytes()) for (at, _, _), i, j in zip(got, cuts[:-1], cuts[1:], strict=True)])
+        yield reply(MARKED, bucket, [(at, bits[i:j].astype("<u4").tobytes()) for (at, _, _), i, j in zip(got, cuts[:-1], cuts[1:], strict=True)])
 
 
-def removed(texts: Batch, buckets: int, status: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def removed(texts: Batch, buckets: int, hot: np.ndarray, status: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which bytes of a batch go."""
-    anchors = Anchors(texts.raw, texts.lengths)
+    anchors = Anchors(texts.raw, texts.lengths, hot)
     rows = Rows(anchors, texts.ids, buckets)
     change = np.zeros(len(texts.raw) + 1, np.int32)
     mask = np.zeros(len(status), np.uint32)
@@ -380,10 +359,10 @@ def removed(texts: Batch, buckets: int, status: np.ndarray, bits: np.ndarray) ->
     return np.cumsum(change[:-1]) > 0
 
 
-def _finished(buckets: int, with_text: bool):
+def _finished(buckets: int, hot, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, replies in _by_batch(batches):
-            gone = removed(texts, buckets, _answers(replies, 0, "u1"), _answers(replies, 1, "<u4"))
+        for _, texts, replies in by_batch(batches):
+            gone = removed(texts, buckets, hot.value, answers(replies, STATUS, "u1"), answers(replies, MARKED, "<u4"))
             ends, rest = np.cumsum(texts.lengths), np.cumsum(texts.carried)
             out: list[list] = [[], [], [], [], [], [], []]
             for key, a, b, c, d in zip(texts.ids.tolist(), (ends - texts.lengths).tolist(), ends.tolist(), (rest - texts.carried).tolist(), rest.tolist(), strict=True):
@@ -401,7 +380,7 @@ def _finished(buckets: int, with_text: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, hot_from: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text and the other columns) for every row of ``docs``.
 
     Only key and text are read. A null text is empty. A null doc_id counts as larger than all
@@ -415,31 +394,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     carried = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])) if with_text and others else F.lit(None).cast("string")
     kinds = docs.select(*[f"`{c}`" for c in others]).schema
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), carried.alias("carried"))
-    texts = scratch.keep(docs.mapInArrow(_gather, "batch long, size long, payload binary"))
+    texts = scratch.keep(docs.mapInArrow(gathered(BATCH), GATHERED))
     n, size = texts.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(12, -(-size // BUCKET))
-    reply = "batch long, kind int, bucket int, payload binary"
-    blob = "bucket int, batch long, n int, blob binary"
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-
-    def joined(*replies: DataFrame) -> DataFrame:
-        rows = texts.select("batch", F.lit(2).alias("kind"), F.lit(0).alias("bucket"), "payload")
-        for r in replies:
-            rows = rows.unionByName(r)
-        return rows.repartition(max(12, -(-n // 4)), "batch").sortWithinPartitions("batch", "kind")
-
-    def freed() -> None:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the files of exchanges that are over
-
-    judged = scratch.keep(dealt(texts.mapInArrow(_sent(buckets), blob)).mapInArrow(_judged, reply))
-    freed()
-    resolved = scratch.keep(dealt(joined(judged).mapInArrow(_literal(buckets), blob)).mapInArrow(_resolved, reply))
-    freed()
+    hot = spark.sparkContext.broadcast(hot_anchors(texts, size, hot_from))
+    judged = scratch.keep(to_buckets(texts.mapInArrow(_sent(buckets, hot), SENT), buckets).mapInArrow(_judged, REPLY))
+    resolved = scratch.keep(to_buckets(to_batches(texts, n, judged).mapInArrow(_literal(buckets, hot), SENT), buckets).mapInArrow(_resolved, REPLY))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, carried string" if with_text else "")
-    done = joined(judged, resolved).mapInArrow(_finished(buckets, with_text), schema)
+    done = to_batches(texts, n, judged, resolved).mapInArrow(_finished(buckets, hot, with_text), schema)
     if not with_text:
         return done
     done = done.withColumn("carried", F.from_json("carried", kinds) if others else F.struct())

@@ -1,6 +1,7 @@
 """Every operator against brute force, and on odd and empty tables."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from axiomata.llm import collision_search, language_id, near_dedup, packing, piece_lattice, quality_rules, repeat_index, sanitise, shingles, url_filters
 from axiomata.llm.components import components, labels
+from axiomata.llm.exchange import Batch
 from axiomata.llm.tables import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -164,6 +166,41 @@ def test_run_index():
             assert bool(int(bits[i]) >> k & 1) == hit
 
 
+def test_run_samples_make_the_matching_statistics():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(97, 99, int(w), np.uint8) for w in rng.integers(1, 60, 12)]
+    parts += [parts[0], np.concatenate([parts[1], parts[2]])]
+    text, widths = np.concatenate(parts), np.array([len(p) for p in parts])
+    owner, ends = np.repeat(np.arange(len(parts)), widths), np.repeat(np.cumsum(widths), widths)
+    suffix = [text[k : ends[k]].tobytes() for k in range(len(text))]
+    order = sorted(range(len(text)), key=lambda k: (suffix[k], k))
+    assert repeat_index.suffix_order(text, widths).tolist() == order
+    index = repeat_index.RunIndex(text, widths)
+    runs = 1 + sum(text[a - 1] != text[b - 1] or owner[b - 1] != owner[b] or owner[a - 1] != owner[a] for a, b in zip(order, order[1:], strict=False) if a and b)
+    assert len(index.run_head) < len(text) and len(index.run_head) >= runs
+    want = {b: (a, len(os.path.commonprefix([suffix[a], suffix[b]]))) for a, b in zip(order, order[1:], strict=False)}
+    before, length = index.matching_statistics()
+    assert all((before[k], length[k]) == want[k] for k in range(len(text)) if k != order[0])
+    index.run_end = np.roll(index.run_end, 1)  # without the true samples, nothing is right
+    before, length = index.matching_statistics()
+    assert sum((before[k], length[k]) == want[k] for k in range(len(text)) if k != order[0]) < len(text) / 2
+
+
+def test_hot_anchors(shared, docs, texts):
+    phrase = "this phrase stands in very many documents of the corpus, "
+    more = {20_000 + k: f"{k * 7919 % 10007} {phrase}and then it goes on with {k % 5} things" for k in range(60)}
+    source = texts | more
+    table = docs.select("doc_id", "text").unionByName(shared.createDataFrame(list(more.items()), "doc_id long, text string"))
+    assert len(repeat_index.hot_anchors(shared.createDataFrame([(0, _one_batch(more))], "batch long, payload binary"), 0, 10)) > 0
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeat_index.without_repeats(table, hot_from=5).collect()}
+    assert got == brute_removed(source)
+
+
+def _one_batch(source):
+    raw = [t.encode() for t in source.values()]
+    return Batch(np.array(list(source)), np.array([len(r) for r in raw]), b"".join(raw), np.zeros(len(raw), np.int64), b"").packed()
+
+
 # personal data
 
 
