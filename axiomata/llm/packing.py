@@ -3,11 +3,15 @@
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens. All that packing
 needs is how many pieces there are of each length, a histogram of at most ``capacity`` rows. A
 configuration says how many pieces of each length share a sequence. The linear program "fewest
-configurations that cover the histogram" is solved by multiplicative weights: a weight per
-length prices configurations, a knapsack dynamic program finds the best one, and the weights of
-the lengths it covers fall. The fractional solution is rounded down, and what is left is filled
-by the same pricing. The plan is a few runs of equal sequences per length, so each piece finds
-its place from its rank among the pieces of its length, with no further exchange.
+configurations that cover the histogram" is solved by multiplicative weights: a length's price is
+its share of a sequence, times a weight that falls as the length gets covered. Each round a
+knapsack dynamic program finds the best configurations at these prices, which are used as often as
+leaves a part of every length that they need, until all is covered. Its value is within a fraction
+of a percent of the bound that the prices prove (``Program.gap``). The fractional solution is
+rounded systematically, and what rounding leaves is a smaller histogram with a program of its own,
+until few pieces are left. Those are filled in largest first. The plan is a few runs of equal
+sequences per length, so each piece finds its place from its rank among the pieces of its length,
+with no further exchange.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,13 @@ END = 0
 REMEMBERED = 600_000
 #: Characters that are tokenised together.
 TOGETHER = 1 << 20
-ROUNDS, EPSILON = 250, 0.5
+#: How fast weights fall; the part of what is left that a configuration takes; what counts as covered; lengths priced by one dynamic program.
+RATE, PART, CRUMB, BLOCK = 0.1, 0.5, 0.02, 1024
+#: The gap between a program's value and the bound at which passes end.
+GAP = 0.01
+#: Tokens that a rounded configuration may leave empty; pieces left that are filled in without a program.
+SLACK, FEW = 8, 512
+SEED = 20260106
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,18 +53,25 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes as byte-level vocabularies spell them: printable ones as themselves, others in order from U+0100; blanks stay.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELLED = {x: 0x100 + k for k, x in enumerate(sorted(set(range(256)) - set(_PRINTED))) if x != 0x20}
+
+
 class Chunked:
     """Token ids of whole texts, by chunks between blanks and line feeds.
 
     Such a place always ends a token of a tokenizer that drops white space and lowers case, so a
     text's ids are its chunks' ids in order, and most chunks were met before. A new chunk that is
     a word and a full stop or comma is taken apart. New words are tokenised in one call: each ends
-    with a token that carries the end-of-word mark. Other new chunks are parted by a special token.
+    with a token that carries the end-of-word mark. Words of letters below U+0100 need neither
+    normalising nor splitting, so their bytes are spelled out here and only merged there. Other
+    new chunks are parted by a special token.
     """
 
     def __init__(self, path: str, parting: str = "<|startoftext|>", mark: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parting, self.parting_id = parting, self.tokenizer.token_to_id(parting)
@@ -61,9 +79,21 @@ class Chunked:
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith(mark)
         self.known: dict[str, bytes] = {"": b""}
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        probe = ["the", "Zebra", "straße", "ÀÉÎÕÜ", "naïveté", "ñandú", "ªºµ", "xyzzyqwv", "þÿð"]
+        if not np.array_equal(self.merged(probe), self.ids(" ".join(probe))):
+            self.plain = None
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def merged(self, words: list[str]) -> np.ndarray:
+        """Ids of words of letters below U+0100."""
+        spelled = " ".join(words).lower()
+        if not spelled.isascii():
+            spelled = spelled.encode().decode("latin-1").translate(_SPELLED)
+        return np.array(self.plain.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
 
     def learn_parts(self, chunks: list[str], found: np.ndarray, ends: np.ndarray, gap: int) -> None:
         raw, at = found.tobytes(), 0
@@ -71,8 +101,8 @@ class Chunked:
             self.known[c] = raw[at:end]
             at = end + gap
 
-    def learn_words(self, words: list[str]) -> None:
-        found = self.ids(" ".join(words))
+    def learn_words(self, words: list[str], low: bool = False) -> None:
+        found = self.merged(words) if low else self.ids(" ".join(words))
         ends = np.flatnonzero(self.ends[found]) + 1
         if len(ends) == len(words):
             self.learn_parts(words, found, ends, 0)
@@ -102,8 +132,14 @@ class Chunked:
                 others.append(word)
             if word != c:
                 apart.append((c, word, tail))
-        if words:
-            self.learn_words(list(words))
+        simple = [w for w in words if w.isascii()] if self.plain else []
+        latin = [w for w in words if not w.isascii() and max(w) < "\u0100"] if self.plain else []
+        for some in (simple, latin):
+            if some:
+                self.learn_words(some, low=True)
+        rest = list(words.difference(simple, latin))
+        if rest:
+            self.learn_words(rest)
         self.learn_others([*others, *(x for x in ".," if x not in known)])
         for c, word, tail in apart:
             known[c] = known[word] + known[tail] if tail else known[word]
@@ -156,94 +192,156 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_cut(tokenizer or vocabulary(), capacity, with_ids), schema)
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: the copies of each length that maximise the price within the capacity."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        n = np.searchsorted(lengths, c, "right")
-        if n:
-            worth = best[c - lengths[:n]] + prices[:n]
-            k = int(worth.argmax())
-            if worth[k] > best[c]:
-                best[c], choice[c] = worth[k], k
-    copies: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        length = int(lengths[choice[c]])
-        copies[length] = copies.get(length, 0) + 1
-        c -= length
-    return copies
-
-
-def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, epsilon: float = EPSILON) -> tuple[list[tuple[dict[int, int], float]], np.ndarray]:
-    """Multiplicative weights for the covering program: configurations with multiplicities, and final prices."""
+def best_fillings(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounded knapsack: for every room up to ``capacity`` the best price, and by length how many copies the best filling takes last."""
+    best, taken = np.zeros(capacity + 1), np.zeros((len(lengths), capacity + 1), np.uint16)
+    for i, x in enumerate(lengths.tolist()):
+        left, part = min(int(counts[i]), capacity // x), 1
+        while left > 0:  # copies in parts of 1, 2, 4, ...
+            k = min(part, left)
+            left, part = left - k, 2 * part
+            rest = capacity + 1 - k * x
+            worth = best[:rest] + k * prices[i]
+            better = worth > best[k * x :] + 1e-12
+            if better.any():
+                taken[i, k * x :] = np.where(better, taken[i, :rest] + k, taken[i, k * x :])
+                best[k * x :] = np.where(better, worth, best[k * x :])
+    return best, taken
+
+
+def spelled_out(lengths: np.ndarray, taken: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Copies of each length in the best filling of each room."""
+    out, room = np.zeros((len(room), len(lengths)), np.int64), room.copy()
+    for i in range(len(lengths) - 1, -1, -1):
+        out[:, i] = taken[i, room]
+        room -= out[:, i] * int(lengths[i])
+    return out
+
+
+class Program(NamedTuple):
+    """A fractional solution: configurations with multiplicities, their sum, and a bound that no solution goes below."""
+
+    columns: list[tuple[dict[int, int], float]]
+    value: float
+    bound: float
+
+    @property
+    def gap(self) -> float:
+        return self.value / self.bound - 1
+
+
+def covering(lengths: np.ndarray, need: np.ndarray, capacity: int, base: np.ndarray, rng: np.random.Generator) -> list[tuple[dict[int, int], float]]:
+    """One pass of multiplicative weights over prices ``base``: configurations with multiplicities that cover all but crumbs."""
+    left, columns = need.copy(), {}
+    crumb = np.maximum(CRUMB, need * CRUMB / 20)
+    while (left > crumb).any():
+        lacking = rng.permutation(np.flatnonzero(left > crumb))
+        price = base * np.exp(RATE * (left / need - 1))
+        for block in np.array_split(lacking, -(-len(lacking) // BLOCK)):
+            block = np.sort(block)
+            own = lengths[block]
+            best, taken = best_fillings(own, price[block], np.ceil(left[block] - 1e-9), capacity)
+            value = price[block] + best[capacity - own]  # of the best configuration that holds this length
+            copies = spelled_out(own, taken, capacity - own)
+            copies[np.arange(len(block)), np.arange(len(block))] += 1
+            for k in np.argsort(-value, kind="stable").tolist():
+                at = np.flatnonzero(copies[k])
+                most = float((left[block[at]] / copies[k, at]).min())
+                if most <= CRUMB / 2:
+                    continue
+                times = most * PART if most * PART > 2 * CRUMB else most
+                left[block[at]] -= copies[k, at] * times
+                key = tuple(zip(own[at].tolist(), copies[k, at].tolist(), strict=True))
+                columns[key] = columns.get(key, 0.0) + times
+    return [(dict(key), times) for key, times in columns.items()]
+
+
+def fractional(counts: dict[int, int], capacity: int, rng: np.random.Generator) -> Program:
+    """The covering program of a histogram, to a gap of GAP or until passes no longer lower it.
+
+    A pass starts from prices in proportion to length. What a length then costs, its share of the
+    sequences that hold it, is the next pass's price; lengths that fill sequences badly cost more.
+    Any prices prove a bound: no sequence holds more of them than their best filling.
+    """
     lengths = np.array(sorted(counts))
-    need = np.array([counts[x] for x in lengths], float)
-    weight, covered = lengths / capacity, np.zeros(len(lengths))
-    place = {int(x): k for k, x in enumerate(lengths)}
-    used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        open_ = covered < need
-        if not open_.any():
-            break
-        found = best_configuration(lengths[open_], weight[open_], capacity)
-        at = np.array([place[x] for x in found])
-        copies = np.array(list(found.values()), float)
-        # as often as leaves a part of every length it uses, so that prices can react
-        times = float(np.min(np.maximum((need - covered)[at], 1) / copies) * 0.5)
-        if times < 1:
-            times = float(np.min((need - covered)[at] / copies))
-        covered[at] += copies * times
-        weight[at] *= np.exp(-epsilon * copies * times / need[at] / max(1, len(at)))
-        used[tuple(sorted(found.items()))] = used.get(tuple(sorted(found.items())), 0.0) + times
-    return [(dict(k), v) for k, v in used.items()], weight
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    need = np.array([counts[x] for x in lengths.tolist()], float)
+    place = {x: k for k, x in enumerate(lengths.tolist())}
+    base = lengths / capacity
+    found, bound, stalled = None, 0.0, 0
+    while True:
+        before = found.value / bound if found else math.inf
+        columns = covering(lengths, need, capacity, base, rng)
+        value = sum(t for _, t in columns)
+        if found is None or value < found.value:
+            found = Program(columns, value, 0.0)
+        cost, covered = np.zeros(len(lengths)), np.full(len(lengths), 1e-9)
+        for copies, times in columns:
+            at = np.array([place[x] for x in copies])
+            share = np.array(list(copies.values())) * times
+            covered[at] += share
+            cost[at] += share * lengths[at] / sum(x * n for x, n in copies.items())
+        cost = np.where(cost > 0, cost / covered, base)
+        for prices in (base, cost):
+            bound = max(bound, float((prices * need).sum() / best_fillings(lengths, prices, need, capacity)[0][capacity]))
+        stalled = stalled + 1 if before - found.value / bound < GAP / 10 else 0
+        if found.value <= (1 + GAP) * bound or stalled == 2:
+            return found._replace(bound=bound)
+        base = np.sqrt(base * cost)
+
+
+class Plan(NamedTuple):
+    """Runs of equal sequences, how many pieces rounded programs placed, and the programs' gaps."""
+
+    runs: list[tuple[dict[int, int], int]]
+    rounded: int
+    gaps: list[float]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """(configuration, number of sequences) for a histogram of lengths; covers it exactly."""
     left = {x: n for x, n in counts.items() if n > 0}
-    found = [({capacity: 1}, left.pop(capacity))] if capacity in left else []
+    runs, rounded, gaps = [], 0, []
+    rng = np.random.default_rng(SEED)
 
     def use(copies: dict[int, int], most: float = math.inf) -> int:
         times = int(min(most, *(left.get(x, 0) // n for x, n in copies.items())))
         if times > 0:
-            found.append((copies, times))
+            runs.append((copies, times))
             for x, n in copies.items():
                 left[x] -= n * times
                 if not left[x]:
                     del left[x]
-        return times
-
-    if left:
-        columns, weight = fractional(left, capacity)
-        price = dict(zip(sorted(left), weight.tolist(), strict=True))
-        for copies, share in sorted(columns, key=lambda c: -c[1]):
-            use(copies, math.floor(share + 1e-9))
-        # The largest piece left starts a sequence; the rest of it is the best filling that the pieces left allow.
-        while left:
-            first = max(left)
-            copies = {first: 1}
-            room = capacity - first
-            free = {x: n - (x == first) for x, n in left.items() if x <= room and n > (x == first)}
-            if free and room:
-                lengths = np.array(sorted(free))
-                value = lengths + 1e-3 * np.array([price[x] for x in lengths.tolist()])
-                for x, n in sorted(best_configuration(lengths, value, room).items(), reverse=True):
-                    n = min(n, free[x])
+        return times * sum(copies.values())
+
+    if capacity in left:  # a full piece is a sequence, in any solution
+        rounded += use({capacity: 1})
+    while sum(left.values()) > FEW:
+        program = fractional(left, capacity, rng)
+        gaps.append(program.gap)
+        order = rng.permutation(len(program.columns))
+        shares = np.array([program.columns[k][1] for k in order])
+        ends = np.cumsum(shares)
+        whole = np.floor(ends + 0.5) - np.floor(ends - shares + 0.5)  # so that sums of multiplicities stay what they are
+        placed = 0
+        for k, times in zip(order.tolist(), whole.tolist(), strict=True):
+            copies = program.columns[k][0]
+            if times > 0 and capacity - sum(x * n for x, n in copies.items()) <= SLACK + capacity * max(0, program.gap):
+                placed += use(copies, times)
+        rounded += placed
+        if placed < FEW // 4:
+            break
+    while left:  # the largest piece left starts a sequence; the rest of it is the fullest filling that the pieces left allow
+        first = max(left)
+        lengths = np.array(sorted(x for x in left if x <= capacity - first and left[x] > (x == first)))
+        copies = {first: 1}
+        if len(lengths):
+            free = np.array([left[x] - (x == first) for x in lengths.tolist()])
+            _, taken = best_fillings(lengths, lengths.astype(float), free, capacity - first)
+            for x, n in zip(lengths.tolist(), spelled_out(lengths, taken, np.array([capacity - first]))[0].tolist(), strict=True):
+                if n:
                     copies[x] = copies.get(x, 0) + n
-                    free[x] -= n
-                    room -= x * n
-                for x in sorted(free, reverse=True):
-                    n = min(free[x], room // x)
-                    if n:
-                        copies[x] = copies.get(x, 0) + n
-                        room -= x * n
-            use(copies)
-    return found
+        use(copies)
+    return Plan(runs, rounded, gaps)
 
 
 class Places:
@@ -294,7 +392,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         before[r["length"], r["part"] + 1] = r["count"]
     counts = {x: int(n) for x, n in enumerate(before.sum(1)) if n}
     before = before.cumsum(1)
-    places = Places(plan(counts, capacity))
+    places = Places(plan(counts, capacity).runs)
     shared = spark.sparkContext.broadcast((before, places))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

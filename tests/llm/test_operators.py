@@ -1,6 +1,7 @@
 """Every operator against brute force, and on odd and empty tables."""
 
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -276,6 +277,66 @@ def test_packing(docs, texts, odd, none):
     assert packing.packed(none).count() == 0
 
 
+def lengths_like_sf01():
+    """A histogram like that of sf0.1: ten thousand pieces of some 1,800 lengths, few of each."""
+    rng = np.random.default_rng(8)
+    return Counter(np.minimum(rng.lognormal(6.1, 0.9, 10_000).astype(int) + 1, 2048).tolist())
+
+
+def check_plan(counts, made, capacity=2048):
+    got = Counter()
+    for copies, times in made.runs:
+        assert sum(x * n for x, n in copies.items()) <= capacity
+        for x, n in copies.items():
+            got[x] += n * times
+    assert got == Counter({x: n for x, n in counts.items() if n})
+
+
+def test_programs_place_nearly_all_pieces():
+    counts = lengths_like_sf01()
+    made = packing.plan(counts)
+    check_plan(counts, made)
+    assert made.rounded >= 0.9 * sum(counts.values())
+    assert made.gaps[0] <= packing.GAP
+    total = sum(x * n for x, n in counts.items())
+    assert sum(t for _, t in made.runs) <= -(-total // 2048) + 3
+
+
+def test_programs_where_volume_is_no_bound():
+    for counts, want in (({1100: 1000, 10: 500, 600: 700}, 1000), ({1024: 5000, 1025: 5000}, 7500), ({1500: 1000, 5: 1}, 1000), ({300: 7, 2048: 5}, 7), ({7: 3}, 1), ({}, 0)):
+        made = packing.plan(counts)
+        check_plan(counts, made)
+        assert sum(t for _, t in made.runs) == want
+
+
+def test_program_covers_and_its_bound_holds():
+    rng = np.random.default_rng(9)
+    for counts, optimum in (({3: 40, 5: 40}, None), ({6: 30}, 30), ({4: 30, 7: 10}, None), ({2: 9, 9: 50}, 50)):
+        program = packing.fractional(counts, 10, rng)
+        covered = Counter()
+        for copies, times in program.columns:
+            assert sum(x * n for x, n in copies.items()) <= 10
+            for x, n in copies.items():
+                covered[x] += n * times
+        assert all(abs(covered[x] - n) <= 0.05 + n / 500 for x, n in counts.items())
+        assert program.bound <= program.value * 1.01
+        if optimum:
+            assert program.bound <= optimum + 1e-9 and program.value >= optimum * 0.99
+
+
+def test_fillings_are_the_best():
+    rng = np.random.default_rng(10)
+    for _ in range(30):
+        lengths = np.sort(rng.choice(np.arange(1, 12), 4, replace=False))
+        prices, counts = rng.random(4), rng.integers(1, 4, 4)
+        best, taken = packing.best_fillings(lengths, prices, counts, 15)
+        options = [np.array(c) for c in itertools.product(*(range(n + 1) for n in counts))]
+        for room in range(16):
+            assert best[room] == pytest.approx(max(c @ prices for c in options if c @ lengths <= room))
+            made = packing.spelled_out(lengths, taken, np.array([room]))[0]
+            assert (made <= counts).all() and made @ lengths <= room and made @ prices == pytest.approx(best[room])
+
+
 def check_sequences(rows):
     by = {}
     for r in rows:
@@ -290,7 +351,7 @@ def check_sequences(rows):
 
 def test_chunks():
     coder = packing.Chunked(packing.vocabulary())
-    for t in ("á ́x", "<|endoftext|> x<|startoftext|>y", "\x1c\x1d a\u0085b c", "I'll don't  x's 12 3", "ΣΑΣ ß İ.", "!!!...\t'll", "  　 z", "\n"):
+    for t in ("á ́x", "<|endoftext|> x<|startoftext|>y", "\x1c\x1d a\u0085b c", "I'll don't  x's 12 3", "ΣΑΣ ß İ.", "!!!...\t'll", "  　 z", "\n", "Straße ÀÉ, ÿþ. naïve ﬁ Ŀ ªºµ é é, Ünï"):
         assert coder.encoded([t])[0] == coder.ids(t).tobytes()
 
 
