@@ -1,15 +1,15 @@
 """URL filtering with explicit rules and a learned tree of path templates.
 
 Per host, path segments that vary freely (numbers, hex ids, mixed tokens) become wildcards, so
-that paths share templates. The templates of a host form a tree. A branch whose labelled rate
-can't be told from that of its siblings is merged with them, which pools their labels, and a
-merged template is rejected where the smoothed share of bad labels reaches the threshold.
+that paths share templates. The templates of a host form a tree. A branch is merged with its
+siblings, which pools their labels, if neither its labelled rate nor that of any branch below it
+can be told from that of the siblings there. A merged template is rejected where the smoothed share
+of bad labels reaches the threshold.
 Explicit rules go first. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +30,8 @@ VARIABLE = r"^(?=[^.]*[0-9])[0-9a-fA-F_-]+(\.[A-Za-z0-9]+)?$"
 Z = 2.58
 #: Weight of the overall rate in a template's smoothed rate, in labels, and the rate that rejects.
 PRIOR_WEIGHT, REJECT = 10.0, 0.5
-#: Rows of a template are spread over so many join keys, since one template may hold much of the table.
-SALT = 16
+#: A template with more than one of so many pages is hot; there are fewer such templates than that, so their list is broadcast. Pages of a hot one are spread over so many join keys.
+HOT, SALT = 1000, 64
 
 
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -63,7 +63,8 @@ def template_rates(paths: DataFrame) -> DataFrame:
 
     ``paths`` has host, template (array), n_labels and n_bad. Nodes of the tree are the prefixes
     of templates; a node's labels are those of all templates below. A node merges with its
-    siblings if its rate lies within Z standard errors of the rate of its parent's other nodes.
+    siblings if its rate, and that of every node below it, lies within Z standard errors of the rate
+    of all nodes under the same parent.
     """
     leaves = paths.groupBy("host", "template").agg(F.sum("n_labels").alias("n_labels"), F.sum("n_bad").alias("n_bad"))
     depth = F.posexplode(F.transform(F.col("template"), lambda _, i: F.slice(F.col("template"), 1, i + 1)))
@@ -75,8 +76,10 @@ def template_rates(paths: DataFrame) -> DataFrame:
     rate = (F.col("all_bad") + 1) / (F.col("all_n") + 2)
     error = F.sqrt(rate * (1 - rate) / F.greatest(F.col("n"), F.lit(1)))
     apart = (F.col("n") > 0) & (F.abs(F.col("bad") / F.greatest(F.col("n"), F.lit(1)) - rate) > Z * error)
-    judged = judged.select("host", "node", apart.alias("apart"))
-    named = steps.join(judged, ["host", "node"]).withColumn("step", F.struct("at", F.when(F.col("apart"), F.element_at("node", -1)).otherwise(F.lit("*")).alias("name")))
+    # a node keeps its name if it, or any node below it, stands apart
+    above_apart = F.explode(F.transform(F.col("node"), lambda _, i: F.slice(F.col("node"), 1, i + 1)))
+    kept = judged.where(apart).select("host", above_apart.alias("node")).distinct().withColumn("own", F.lit(True))
+    named = steps.join(kept, ["host", "node"], "left").withColumn("step", F.struct("at", F.when(F.col("own"), F.element_at("node", -1)).otherwise(F.lit("*")).alias("name")))
     merged = named.groupBy("host", "template").agg(F.sort_array(F.collect_list("step")).alias("steps"), F.first("n_labels").alias("n_labels"), F.first("n_bad").alias("n_bad"))
     merged = merged.select("host", "template", "n_labels", "n_bad", F.concat(F.lit("/"), F.array_join("steps.name", "/")).alias("merged"))
     merged = merged.unionByName(leaves.where(F.size("template") == 0).withColumn("merged", F.lit("/")))
@@ -99,10 +102,15 @@ def filtered(pages: DataFrame, labels: DataFrame, rules=RULES, page_id: str = "p
     )
     found = with_host_and_path(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))).select("page_id", "host", "path", segments().alias("template"))
     marked = found.join(book, "page_id", "left")
-    rates = template_rates(marked.groupBy("host", "template").agg(F.count("is_bad").alias("n_labels"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("n_bad")))
-    salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    counts = marked.groupBy("host", "template").agg(F.count("*").alias("n_pages"), F.count("is_bad").alias("n_labels"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("n_bad"))
+    rates = template_rates(counts)
+    pages_total = counts.agg(F.sum("n_pages")).scalar()
+    hot = counts.where(F.col("n_pages") * HOT > pages_total).select("host", "template", F.lit(SALT).alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    spread = F.pmod(F.coalesce(F.xxhash64("page_id", "path"), F.lit(0)), salts).cast("int")
+    salted = rates.join(F.broadcast(hot), ["host", "template"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     rule, verdict = rule_of(rules)
-    judged = found.withColumn("salt", F.pmod(F.coalesce(F.xxhash64("page_id", "path"), F.lit(0)), F.lit(SALT)).cast("int")).join(salted, ["host", "template", "salt"], "left")
+    judged = found.join(F.broadcast(hot), ["host", "template"], "left").withColumn("salt", spread).join(salted, ["host", "template", "salt"], "left")
     method = F.when((F.col("host") != "") & (F.col("rate") >= REJECT), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("merged").alias("template"), F.round("rate", 6).alias("bad_rate"))
 
@@ -119,8 +127,8 @@ WITH p0 AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p0
 ), f AS (
-  SELECT *, list_slice(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
-    CASE WHEN regexp_matches(s, '^[0-9a-fA-F_-]+(\.[A-Za-z0-9]+)?$') AND regexp_matches(s, '^[^.]*[0-9]') THEN '*' ELSE s END), 1, 8) AS tpl FROM p
+  SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
+    CASE WHEN regexp_matches(s, '^[0-9a-fA-F_-]+(\.[A-Za-z0-9]+)?$') AND regexp_matches(s, '^[^.]*[0-9]') THEN '*' ELSE s END) AS tpl FROM p
 ), lab AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS is_bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
 ), leaves AS (
@@ -133,9 +141,10 @@ above AS (SELECT host, parent, (sum(bad) + 1) / (sum(n) + 2) AS rate FROM nodes
 judged AS (
   SELECT host, node, n > 0 AND abs(bad / greatest(n, 1) - rate) > 2.58 * sqrt(rate * (1 - rate) / greatest(n, 1)) AS apart
   FROM nodes JOIN above USING (host, parent)
+), kept AS (SELECT DISTINCT host, list_slice(node, 1, i) AS node, true AS own FROM (SELECT host, node, unnest(range(1, len(node) + 1)) AS i FROM judged WHERE apart)
 ), merged AS (
-  SELECT host, tpl, '/' || string_agg(CASE WHEN apart THEN node[i] ELSE '*' END, '/' ORDER BY i) AS merged, any_value(n_labels) AS n_labels, any_value(n_bad) AS n_bad
-  FROM steps JOIN judged USING (host, node) GROUP BY host, tpl
+  SELECT host, tpl, '/' || string_agg(CASE WHEN own THEN node[i] ELSE '*' END, '/' ORDER BY i) AS merged, any_value(n_labels) AS n_labels, any_value(n_bad) AS n_bad
+  FROM steps LEFT JOIN kept USING (host, node) GROUP BY host, tpl
   UNION ALL SELECT host, tpl, '/', n_labels, n_bad FROM leaves WHERE len(tpl) = 0
 ), overall AS (SELECT (sum(n_bad) + 1) / (sum(n_labels) + 2) AS r FROM leaves),
 rates AS (SELECT host, merged, (sum(n_bad) + 10 * any_value(r)) / (sum(n_labels) + 10) AS rate FROM merged, overall GROUP BY host, merged),
