@@ -178,20 +178,26 @@ class Network:
         self.squares = {n: np.full(getattr(self, n).shape, 1e-6, np.float32) for n in self.names}
 
     def layers(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        seen = self.embedding[around].reshape(len(around), -1)
+        seen = np.take(self.embedding, around, axis=0).reshape(len(around), -1)
         hidden = np.tanh(seen @ self.into + self.bias)
-        raw = hidden @ self.out + self.prior
-        raw -= raw.max(axis=1, keepdims=True)
-        return seen, hidden, raw
+        return seen, hidden, self.logits(hidden)
 
-    def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        # positions' shares of the hidden layer are looked up, which is the same product
-        hidden = np.tanh(sum(self.positions[p][around[:, p]] for p in range(2 * SIDE)) + self.bias)
+    def logits(self, hidden: np.ndarray) -> np.ndarray:
         raw = hidden @ self.out
         raw += self.prior
-        raw -= raw.max(axis=1, keepdims=True)
+        if raw.max(initial=0) > 60 or raw.min(initial=0) < -60:  # else exponentials stay in range as they are
+            raw -= raw.max(axis=1, keepdims=True)
+        return raw
+
+    def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        # positions' shares of the hidden layer are looked up, which is the same product
+        hidden = self.positions[0][around[:, 0]]
+        for p in range(1, 2 * SIDE):
+            hidden += np.take(self.positions[p], around[:, p], axis=0)
+        hidden += self.bias
+        raw = self.logits(np.tanh(hidden, out=hidden))
         own = raw[np.arange(len(target)), target]
-        return own - np.log(np.exp(raw, out=raw).sum(axis=1))
+        return own - np.log(np.exp(raw, out=raw) @ np.ones(self.classes, np.float32))
 
     def settle(self) -> Network:
         parts = self.into.reshape(2 * SIDE, WIDTH, HIDDEN)
@@ -199,21 +205,23 @@ class Network:
         return self
 
     def passed(self, around: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass over some words."""
+        """One pass over some words, by Adagrad."""
         order = rng.permutation(len(target))
-        for k in range(0, len(order), TOGETHER):
-            at = order[k : k + TOGETHER]
-            seen, hidden, raw = self.layers(around[at])
+        around, target = around[order], target[order]
+        ones, width = np.ones(self.classes, np.float32), np.arange(WIDTH)
+        for k in range(0, len(target), TOGETHER):
+            near, own = around[k : k + TOGETHER], target[k : k + TOGETHER]
+            seen, hidden, raw = self.layers(near)
             error = np.exp(raw, out=raw)
-            error /= error.sum(axis=1, keepdims=True)
-            error[np.arange(len(at)), target[at]] -= 1
-            error /= len(at)
-            back = (error @ self.out.T) * (1 - hidden * hidden)
+            error *= (np.float32(1 / len(own)) / (error @ ones))[:, None]
+            error[np.arange(len(own)), own] -= np.float32(1 / len(own))
+            back = error @ self.out.T
+            back *= 1 - hidden * hidden
             wide = back @ self.into.T
-            place = (around[at][:, :, None].astype(np.int64) * WIDTH + np.arange(WIDTH)).ravel()
+            place = (near[:, :, None] * WIDTH + width).ravel()
             embedding = np.bincount(place, wide.ravel(), self.embedding.size).reshape(self.embedding.shape).astype(np.float32)
-            slopes = {"embedding": embedding, "into": seen.T @ back, "bias": back.sum(0), "out": hidden.T @ error, "prior": error.sum(0)}
-            for n in self.names:  # Adagrad
+            slopes = {"embedding": embedding, "into": seen.T @ back, "bias": back.sum(0), "out": hidden.T @ error, "prior": np.ones(len(own), np.float32) @ error}
+            for n in self.names:
                 self.squares[n] += slopes[n] ** 2
                 setattr(self, n, getattr(self, n) - np.float32(STEP) * slopes[n] / np.sqrt(self.squares[n]))
 
