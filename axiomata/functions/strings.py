@@ -49,8 +49,9 @@ def id_token_subject(token: Column) -> Column:
 
 
 def cleaned_latex(c: Column) -> Column:
-    """Without surrounding dollars and a closing comma or full stop."""
-    return F.regexp_replace(F.regexp_replace(F.trim(c), r"^\$+|\$+$", ""), r"[,.]\s*$", "")
+    """Without dollars at its ends, then without a closing comma or full stop, then without blanks at its ends."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"^\s*\$*|\s+$", ""), r"\$+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"[,.]\s*$", ""), r"^\s+|\s+$", "")
 
 
 def shortened(c: Column, most: int = 80) -> Column:
