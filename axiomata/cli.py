@@ -1,4 +1,4 @@
-"""Command line: ingest, search, facets, dedup, proof, stats."""
+"""Command line: ingest, search, facets, dedup, proof, stats, version."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ import sys
 
 from pyspark.sql import SparkSession
 
+import axiomata
 from axiomata import config as settings
 from axiomata.functions import features
-from axiomata.functions.canonical import canonical
+from axiomata.functions.canonical import canonical, engine_probe
 from axiomata.functions.expressions import ParseError, parse
 from axiomata.operators import search
 from axiomata.operators.store import Store
+from axiomata.schema import SCHEMA_VERSION
 from axiomata.sources.corpus import sources
 
 
@@ -20,6 +22,8 @@ def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="axiomata")
     top.add_argument("-config")
     top.add_argument("-store")
+    top.add_argument("-fuzzy-limit", type=int)
+    top.add_argument("-pool", type=int)
     commands = top.add_subparsers(dest="command", required=True)
     ingest = commands.add_parser("ingest")
     ingest.add_argument("-rebuild", action="store_true")
@@ -37,15 +41,21 @@ def arguments() -> argparse.ArgumentParser:
     proof.add_argument("-status", default="draft")
     proof.add_argument("entry")
     commands.add_parser("stats")
+    commands.add_parser("version")
     return top
 
 
 def run(spark: SparkSession, argv: list[str]) -> int:
     args = arguments().parse_args(argv)
-    config = settings.load(args.config)
-    store = Store(spark, args.store or config.store)
+    if args.command == "version":
+        print(f"axiomata {axiomata.__version__}, schema {SCHEMA_VERSION}, engine {engine_probe()[:12]}")
+        return 0
+    config = settings.load(args.config, args.store, args.fuzzy_limit, args.pool)
+    store = Store(spark, config.store)
+    if args.command in ("search", "facets", "dedup") and store.warning():
+        print(store.warning(), file=sys.stderr)
     if args.command == "ingest":
-        done = store.ingest(sources(args.paths, list(config.corpus.roots)), args.rebuild)
+        done = store.ingest(sources(args.paths, list(config.corpus.roots), spark), args.rebuild)
         for row in done.skipped.toLocalIterator():
             print(f"SKIP {row['path']}")
         print(f"indexed {done.indexed} of {done.total} formulas, {done.total - done.indexed} not parsed; {store.count()} stored")

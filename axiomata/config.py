@@ -1,4 +1,4 @@
-"""Settings: defaults, then a JSON file, then the environment."""
+"""Settings: defaults, then a JSON file, then the environment, then flags."""
 
 from __future__ import annotations
 
@@ -29,16 +29,23 @@ class RateLimit:
     exempt_privileged: bool = True
 
 
+@dataclass(frozen=True)
+class Server:
+    read_timeout: float = 15
+    write_timeout: float = 30
+
+
 @dataclass(frozen=True)
 class Config:
     store: str = "formulas"
     corpus: Corpus = field(default_factory=Corpus)
     search: Search = field(default_factory=Search)
     rate_limit: RateLimit = field(default_factory=RateLimit)
+    server: Server = field(default_factory=Server)
 
 
-def load(path: str | None = None) -> Config:
-    """Unknown settings are ignored; ``AXIOMATA_STORE`` names the store."""
+def load(path: str | None = None, store: str | None = None, fuzzy_limit: int | None = None, pool: int | None = None) -> Config:
+    """Unknown settings are ignored; ``AXIOMATA_STORE`` names the store. What is given here as a flag goes over all else."""
     config = Config()
     if path:
         with open(path) as f:
@@ -51,4 +58,6 @@ def load(path: str | None = None) -> Config:
                 config = replace(config, **{part.name: kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in value.items() if k in known})})
             elif value is not None:
                 config = replace(config, **{part.name: value})
-    return replace(config, store=os.environ.get("AXIOMATA_STORE", config.store))
+    config = replace(config, store=store or os.environ.get("AXIOMATA_STORE", config.store))
+    flags = {k: v for k, v in (("fuzzy_limit", fuzzy_limit), ("pool", pool)) if v is not None}
+    return replace(config, search=replace(config.search, **flags))

@@ -21,7 +21,7 @@ def stats(store: Store) -> DataFrame:
 
 
 def search(store: Store, q: str, config: Config | None = None) -> dict[str, Any]:
-    """query_canonical, exact and fuzzy; or an error, for text that isn't a formula. An empty query is refused."""
+    """query_canonical, exact and fuzzy, and a warning if the store is stale; or an error, for text that isn't a formula. An empty query is refused."""
     if not q:
         raise ValueError("q is required")
     config = config or Config()
@@ -30,7 +30,8 @@ def search(store: Store, q: str, config: Config | None = None) -> dict[str, Any]
     except ParseError as e:
         return {"error": str(e)}
     fuzzy = store.fuzzy(features.tokens_from(form), config.search.fuzzy_limit, config.search.pool)
-    return {"query_canonical": form, "exact": store.exact(q).select(*HIT), "fuzzy": fuzzy.select(*HIT)}
+    found = {"query_canonical": form, "exact": store.exact(q).select(*HIT), "fuzzy": fuzzy.select(*HIT)}
+    return found | ({"warning": store.warning()} if store.warning() else {})
 
 
 def facets(store: Store, f: list[str], config: Config | None = None) -> dict[str, Any]:

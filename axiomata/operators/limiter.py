@@ -21,6 +21,12 @@ def per_minute(rpm: float = 60, burst: float = 0) -> tuple[float, float]:
     return rpm / 60, burst if burst > 0 else rpm
 
 
+def exempt(path: Column, role: Column, prefix: str = "/api/", privileged: bool = True) -> Column:
+    """Requests that aren't limited: outside ``prefix``, or of the privileged role if that is spared."""
+    outside = ~path.startswith(prefix) if prefix else F.lit(False)
+    return outside | (F.lit(privileged) & F.coalesce(role == "privileged", F.lit(False)))
+
+
 class Bucket:
     def __init__(self, rate: float, burst: float):
         self.rate, self.burst, self.tokens, self.at = rate, float(burst), float(burst), None

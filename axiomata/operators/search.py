@@ -54,13 +54,20 @@ def identity_mma(lhs: Column, rhs: Column) -> Column:
     return F.concat_ws(" == ", F.nullif(lhs, F.lit("")), F.nullif(rhs, F.lit("")))
 
 
-def with_identities(hits: DataFrame, formulas: DataFrame) -> DataFrame:
-    """Adds identity_mma and identity_latex to a few hits; only their entries are read."""
-    mine = formulas.join(F.broadcast(hits.select("entry_id").distinct()), "entry_id", "left_semi")
-    pairs = entry_sides(mine)
+def identities(formulas: DataFrame) -> DataFrame:
+    """entry_id, identity_mma, identity_latex of every entry."""
+    pairs = entry_sides(formulas)
     latex = F.concat_ws(" = ", "lhs_side_latex", "rhs_side_latex")
-    named = pairs.select("entry_id", identity_mma(F.col("lhs_mma"), F.col("rhs_mma")).alias("identity_mma"), latex.alias("identity_latex"))
-    return hits.join(named, "entry_id", "left")
+    return pairs.select("entry_id", identity_mma(F.col("lhs_mma"), F.col("rhs_mma")).alias("identity_mma"), latex.alias("identity_latex"))
+
+
+def with_identities(hits: DataFrame, formulas: DataFrame) -> DataFrame:
+    """Adds identity_mma and identity_latex to hits; only their entries are read.
+
+    Spark broadcasts the hits' ids if it finds them small enough, and else joins by a shuffle.
+    """
+    mine = formulas.join(hits.select("entry_id").distinct(), "entry_id", "left_semi")
+    return hits.join(identities(mine), "entry_id", "left")
 
 
 def exact(formulas: DataFrame, signature: str) -> DataFrame:
@@ -83,20 +90,31 @@ def bm25(postings: DataFrame, query: DataFrame, keys: list[str], total: Column,
     return hits.groupBy(*groups, *keys).agg(F.sum(weight).alias("bm25"))
 
 
-def fuzzy(formulas: DataFrame, query_tokens: list[str], limit: int = FUZZY_LIMIT, pool: int = POOL) -> DataFrame:
-    """The ``pool`` best by BM25 of shared tokens, ranked again by Jaccard, collapsed, then limited."""
+def postings(formulas: DataFrame) -> DataFrame:
+    """entry_id, side, tok, tf, length: an inverted index of formulas' tokens."""
+    held = formulas.select("entry_id", "side", F.size("tokens").alias("length"), F.explode("tokens").alias("tok"))
+    return held.groupBy("entry_id", "side", "tok", "length").agg(F.count("*").alias("tf")).select("entry_id", "side", "tok", "tf", "length")
+
+
+def fuzzy(formulas: DataFrame, query_tokens: list[str], limit: int = FUZZY_LIMIT, pool: int = POOL, index: DataFrame | None = None) -> DataFrame:
+    """The ``pool`` best by BM25 of shared tokens, ranked again by Jaccard, collapsed, then limited.
+
+    With an ``index`` (``postings``), only its rows of the query's tokens are read, and the tokens
+    of the pool; without one, formulas that share no token are dropped before theirs are exploded.
+    """
     pool = pool_for(checked(limit), pool)
     wanted = sorted(set(query_tokens))
     spark = formulas.sparkSession
-    held = formulas.select("entry_id", "side", F.size("tokens").alias("length"), F.explode("tokens").alias("tok"))
-    postings = held.where(F.col("tok").isin(wanted)).groupBy("entry_id", "side", "length", "tok").agg(F.count("*").alias("tf"))
-    stats = formulas.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("tokens")).alias("average"))
+    asked = F.array(*[F.lit(t) for t in wanted]).cast("array<string>")
+    index = postings(formulas.where(F.arrays_overlap("tokens", asked))) if index is None else index
+    length = F.col("n_tokens") if "n_tokens" in formulas.columns else F.size("tokens")
+    stats = formulas.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("average"))
     query = spark.createDataFrame([(t,) for t in wanted], "tok string")
-    scores = bm25(postings, query, ["entry_id", "side"], stats.select("n").scalar(), stats.select("average").scalar())
+    scores = bm25(index.where(F.col("tok").isin(wanted)), query, ["entry_id", "side"], stats.select("n").scalar(), stats.select("average").scalar())
     best = scores.withColumn("bm25", F.round("bm25", DIGITS)).orderBy(F.desc("bm25"), "entry_id", "side").limit(pool)
-    candidates = formulas.join(F.broadcast(best), ["entry_id", "side"])
+    candidates = formulas.join(F.broadcast(best), ["entry_id", "side"])  # ``pool`` rows
     # a struct sorts by its fields in order: similarity, then what ranked the pool
-    scored = candidates.withColumn("score", jaccard(F.col("tokens"), F.array(*[F.lit(t) for t in wanted]).cast("array<string>")))
+    scored = candidates.withColumn("score", jaccard(F.col("tokens"), asked))
     ranked = scored.withColumn("rank", F.struct((-F.col("score")).alias("s"), (-F.col("bm25")).alias("b"), "entry_id", "side"))
     return collapse(ranked.select(*FORMULA, "score", "rank")).orderBy("rank").limit(limit).drop("rank")
 
@@ -113,20 +131,24 @@ def facet_rows(formulas: DataFrame) -> DataFrame:
     return formulas.select("entry_id", "side", F.explode(F.array_distinct("facets")).alias("facet"))
 
 
-def matching(formulas: DataFrame, selected: list[str], strict: bool = False) -> DataFrame:
-    """Keys of the formulas that carry all selected facets; repeats count only if ``strict``."""
+def matching(formulas: DataFrame, rows: DataFrame, selected: list[str], strict: bool = False) -> DataFrame:
+    """Keys of the formulas that carry all selected facets, by ``rows`` of facets; repeats count only if ``strict``."""
     if not selected:
         return formulas.select("entry_id", "side")
     wanted = len(selected) if strict else len(set(selected))
-    rows = facet_rows(formulas).where(F.col("facet").isin(sorted(set(selected))))
+    rows = rows.where(F.col("facet").isin(sorted(set(selected))))
     return rows.groupBy("entry_id", "side").agg(F.countDistinct("facet").alias("n")).where(F.col("n") == wanted).select("entry_id", "side")
 
 
-def facets(formulas: DataFrame, selected: list[str], limit: int = FUZZY_LIMIT, strict: bool = False) -> Facets:
-    """total (one row), refine (facet, n; most first), and hits only where 0 < total <= limit."""
-    keys = matching(formulas, selected, strict)
+def facets(formulas: DataFrame, selected: list[str], limit: int = FUZZY_LIMIT, strict: bool = False, rows: DataFrame | None = None) -> Facets:
+    """total (one row), refine (facet, n; most first), and hits only where 0 < total <= limit.
+
+    ``rows`` are the formulas' facets one by one, if there is a table of them.
+    """
+    rows = facet_rows(formulas) if rows is None else rows
+    keys = matching(formulas, rows, selected, strict)
     total = keys.agg(F.count("*").alias("total"))
-    among = facet_rows(formulas).join(keys, ["entry_id", "side"], "left_semi")
+    among = rows.join(keys, ["entry_id", "side"], "left_semi")
     refine = among.where(~F.col("facet").isin(selected)) if selected else among
     refine = refine.groupBy("facet").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "facet")
     listed = formulas.join(keys, ["entry_id", "side"], "left_semi").where(total.scalar() <= checked(limit))

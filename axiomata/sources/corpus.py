@@ -20,11 +20,16 @@ def expand_home(path: str) -> str:
     return os.path.expanduser(path) if path == "~" or path.startswith("~/") else path
 
 
-def expand(paths: list[str]) -> list[str]:
-    """Sorted files of paths: globs, folders (their ``*.json``, not below), files. A missing path is an error."""
+def expand(paths: list[str], spark: SparkSession | None = None) -> list[str]:
+    """Sorted files of paths: globs, folders (their ``*.json``, not below), files. A missing path is an error.
+
+    Paths with a scheme, as ``hdfs://``, are looked up where Spark reads, which takes a session.
+    """
     found: list[str] = []
     for path in map(expand_home, paths):
-        if any(c in path for c in "*?["):
+        if "://" in path:
+            found += _remote(path, spark)
+        elif any(c in path for c in "*?["):
             found += glob.glob(path)
         elif os.path.isdir(path):
             found += [os.path.join(path, f) for f in os.listdir(path) if f.endswith(".json")]
@@ -35,11 +40,28 @@ def expand(paths: list[str]) -> list[str]:
     return sorted(found)
 
 
-def sources(paths: list[str], roots: list[str]) -> list[str]:
+def _remote(path: str, spark: SparkSession | None) -> list[str]:
+    if spark is None:
+        raise ValueError(f"{path}: a path with a scheme takes a session")
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    hits = files.globStatus(pattern) or []
+    if not len(hits) and not any(c in path for c in "*?["):
+        raise FileNotFoundError(path)
+    found: list[str] = []
+    for hit in hits:
+        if hit.isDirectory():
+            found += [f.getPath().toString() for f in files.listStatus(hit.getPath()) if f.isFile() and f.getPath().getName().endswith(".json")]
+        else:
+            found.append(hit.getPath().toString())
+    return found
+
+
+def sources(paths: list[str], roots: list[str], spark: SparkSession | None = None) -> list[str]:
     """The files to read: given paths, or else the configured roots."""
     if not paths and not roots:
         raise ValueError("no corpus paths given and none configured")
-    return expand(paths or roots)
+    return expand(paths or roots, spark)
 
 
 def read_entries(spark: SparkSession, files: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +69,12 @@ def read_entries(spark: SparkSession, files: list[str]) -> tuple[DataFrame, Data
 
     Files are read as wholes on the executors; ``seq`` orders entries by file and place.
     """
-    raw = spark.read.format("binaryFile").load(files).select("path", F.decode("content", "UTF-8").alias("text"))
+    return entries_of(spark.read.format("binaryFile").load(files))
+
+
+def entries_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of files that were read as rows (path, content)."""
+    raw = files.select("path", F.decode("content", "UTF-8").alias("text"))
     array = F.try_parse_json(F.col("text"))
     items = F.try_variant_get(array, "$", "array<variant>")
     kind = lambda v, f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
@@ -67,10 +94,20 @@ def sides(entries: DataFrame) -> DataFrame:
     return rows.select(*more, "entry_id", "s.side", "label", "source", "class", "latex", "s.mma", "verified", "s.pos").where(not_blank(F.col("mma")))
 
 
-def analysed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(formulas, rejected rows with their error), each text parsed once."""
+def analysis(rows: DataFrame) -> DataFrame:
+    """Sides with all that derives from their text, parsed once; ``error`` is null for those that parse."""
     found = rows.withColumn("a", analyse(F.col("mma")))
     more = [c for c in ("seq", "pos") if c in rows.columns]
-    full = found.select(*more, *[c for c in FORMULA if c in rows.columns], "a.*")
-    good = full.where("error is null").select(*more, *FORMULA, "tokens", "facets", "side_latex")
-    return good, full.where("error is not null").select("entry_id", "side", "mma", "error")
+    return found.select(*more, *[c for c in FORMULA if c in rows.columns], "a.*")
+
+
+def parted(analysed_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(formulas, rejected rows with their error)."""
+    more = [c for c in ("seq", "pos") if c in analysed_rows.columns]
+    good = analysed_rows.where("error is null").select(*more, *FORMULA, "tokens", "facets", "side_latex")
+    return good, analysed_rows.where("error is not null").select("entry_id", "side", "mma", "error")
+
+
+def analysed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(formulas, rejected rows with their error), each text parsed once."""
+    return parted(analysis(rows))

@@ -1,17 +1,49 @@
-"""Store scenarios end to end: upsert, exact and fuzzy search, facets, duplicates, proofs, staleness, ingest."""
+"""The store end to end: versions, upsert, searches, facets, duplicates, proofs, staleness, ingest; limiter and helpers."""
 
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+import axiomata
 from axiomata import cli
+from axiomata import config as settings
 from axiomata.functions import features, strings
 from axiomata.functions.canonical import canonical
 from axiomata.functions.expressions import parse
 from axiomata.operators import api, limiter, search
-from axiomata.operators.store import Store
+from axiomata.operators import store as stores
+from axiomata.operators.scratch import shared_dir
+from axiomata.operators.store import Changed, Store
 from axiomata.sources import corpus
+from axiomata.streaming.ingest import ingest_stream
+
+#: A small corpus: id, left side, right side.
+CORPUS = [
+    ("heat-1", "Exp[-k*t]*Sin[k*x]", ""),
+    ("heat-2", "Sin[m*y]*Exp[-m*s]", "u"),
+    ("wave-1", "Cos[w*t] + Sin[w*t]", "Sqrt[2]*Cos[w*t - Pi/4]"),
+    ("series-1", "Sum[Binomial[n, j], {j, 0, n}]", "2^n"),
+    ("area-1", "Integrate[Sqrt[1 - r^2], {r, -1, 1}]", "Pi/2"),
+]
+
+
+def entries(*rows):
+    return [{"id": k, "source": "book", "class": "formula", "lhs": left, "rhs": right} for k, left, right in rows]
+
+
+def write(path, rows):
+    path.write_text(json.dumps(rows))
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def filled(spark, tmp_path_factory):
+    """A store of CORPUS, read only by the tests that take it."""
+    folder = tmp_path_factory.mktemp("filled")
+    made = Store(spark, f"file://{folder}/store")
+    made.ingest([write(folder / "all.json", entries(*CORPUS))])
+    return made
 
 
 @pytest.fixture
@@ -21,157 +53,308 @@ def store(spark, tmp_path):
     return made
 
 
-def add(store, entry, side, text):
-    return store.add({"id": entry, "source": "test", "class": "identity", "latex": text, side: text})
-
-
-def test_exact_and_duplicates(store):
-    add(store, "a", "rhs", "a*b + c")
-    add(store, "b", "rhs", "z*y + x")
-    add(store, "b", "lhs", "Sin[x]")
-    hits = store.exact("c + a*b").collect()
-    assert len(hits) == 1
-    assert [o["entry_id"] for o in hits[0]["occurrences"]] == ["a", "b"]
-    assert (hits[0]["entry_id"], hits[0]["score"], hits[0]["identity_mma"]) == ("a", 1.0, "a*b + c")
-    total, groups = store.duplicates(10)
-    rows = groups.collect()
-    assert (total, len(rows), len(rows[0]["occurrences"])) == (1, 1, 2)
-    assert "×2 a.rhs, b.rhs" in search.duplicate_report(groups).first()["line"]
-    # again, with another text: replaced, not added
-    add(store, "b", "rhs", "x^2")
-    assert store.count() == 3
-    assert store.duplicates(10)[0] == 0
-
-
-def test_fuzzy(store):
-    add(store, "close", "rhs", "Integrate[E^(-a*x^2)*Cos[b*x], {x, 0, Infinity}]")
-    add(store, "far", "rhs", "Sum[1/k^2, {k, 1, Infinity}]")
-    tokens = features.tokens_from(canonical(parse("Integrate[E^(-a*x^2), {x, 0, Infinity}]")))
-    rows = store.fuzzy(tokens, 10, 100).collect()
-    assert rows[0]["entry_id"] == "close"
-    assert store.fuzzy([], 10, 100).collect() == []
-    assert store.fuzzy(tokens, 0, 100).collect() == []
+def keys(df):
+    return sorted((r["entry_id"], r["side"]) for r in df.collect())
+
+
+# versions
+
+
+def test_pointers_are_numbered_and_complete(spark, store, tmp_path):
+    store.add({"id": "one", "lhs": "u + 1"})
+    before = store.version.number
+    (tmp_path / "store" / f"VERSION-{before + 1:010d}").write_text('{"segments": {"formulas": ["gone"]')  # a writer that broke off
+    again = Store(spark, store.root)
+    assert again.count() == 1
+    again.add({"id": "two", "lhs": "u + 2"})
+    assert again.count() == 2 and again.version.number > before + 1
+
+
+def test_data_without_a_pointer_is_not_taken_for_an_empty_store(spark, store, tmp_path):
+    store.add({"id": "one", "lhs": "u + 1"})
+    for f in (tmp_path / "store").glob("VERSION-*"):
+        f.unlink()
+    with pytest.raises(ValueError, match="no complete pointer"):
+        Store(spark, store.root)
+
+
+def test_of_two_writers_one_fails(spark, store):
+    begun = store.version
+    store.add({"id": "one", "lhs": "u + 1"})
+    with pytest.raises(Changed):
+        store._publish(stores.Version(begun.number + 1, begun.segments, begun.meta))
+    assert store.count() == 1
+
+
+def test_one_entry_writes_one_segment(store, tmp_path, monkeypatch):
+    store.add({"id": "a", "lhs": "u + 1", "rhs": "u*v"})
+    first = store.version.segments["formulas"]
+    store.add({"id": "a", "lhs": "Gamma[u]"})
+    assert store.version.segments["formulas"][:-1] == first
+    assert keys(store.formulas) == [("a", "lhs"), ("a", "rhs")]
+    assert [r["facet"] for r in store.table("facets").collect()] == ["gamma-function"]
+    assert {r["tok"] for r in store.table("postings").where("side = 'lhs'").collect()} == set(features.tokens_from("Gamma[v0]"))
+    monkeypatch.setattr(stores, "MOST", 2)
+    store.add({"id": "b", "lhs": "Zeta[u]"})
+    assert len(store.version.segments["formulas"]) == 1
+    assert keys(store.formulas) == [("a", "lhs"), ("a", "rhs"), ("b", "lhs")]
+    assert sorted(r["facet"] for r in store.table("facets").collect()) == ["gamma-function", "zeta"]
+
+
+def test_searches_read_the_index_tables(filled):
+    for plan in (filled.table("facets").where("facet = 'sum'"), filled.table("postings").where("tok = 'op:Sum'")):
+        assert "PushedFilters: [IsNotNull" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+# searches
+
+
+def test_exact_search_ignores_names_and_order(filled):
+    hit = filled.exact("Exp[-a*b]*Sin[c*a]").collect()
+    assert [(o["entry_id"], o["side"]) for o in hit[0]["occurrences"]] == [("heat-1", "lhs"), ("heat-2", "lhs")]
+    assert (len(hit), hit[0]["entry_id"], hit[0]["score"], hit[0]["identity_mma"]) == (1, "heat-1", 1.0, "Exp[-k*t]*Sin[k*x]")
+    assert hit[0]["identity_latex"] == r"e^{-k t} \sin\!\left(k x\right)"
+    assert filled.exact("Exp[a*b]*Sin[c*a]").count() == 0
+
+
+def test_fuzzy_search_ranks_by_likeness(filled):
+    tokens = features.tokens_from(canonical(parse("Sum[Binomial[m, i]^2, {i, 0, m}]")))
+    rows = filled.fuzzy(tokens, 3, 50).collect()
+    assert rows[0]["entry_id"] == "series-1" and len(rows) <= 3
+    assert [r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True)
+    with_index = [(r["entry_id"], r["side"], r["score"]) for r in rows]
+    without = [(r["entry_id"], r["side"], r["score"]) for r in search.fuzzy(filled.formulas, tokens, 3, 50).collect()]
+    assert with_index == without
+    assert filled.fuzzy([], 3, 50).count() == filled.fuzzy(tokens, 0, 50).count() == 0
     with pytest.raises(ValueError):
-        store.fuzzy(tokens, -1, 100)
-
-
-def test_facets(store):
-    add(store, "i1", "rhs", "Integrate[BesselJ[0, x]/x, {x, 0, Infinity}]")
-    add(store, "i2", "rhs", "Integrate[Sin[x]/x, {x, 0, Infinity}]")
-    add(store, "s1", "rhs", "Sum[1/k^2, {k, 1, Infinity}]")
-    found = store.facets(["integral"], 10)
-    assert found.total.first()["total"] == 2
-    assert "bessel" in [r["facet"] for r in found.refine.collect()]
-    assert found.hits.count() == 2
-    both = store.facets(["integral", "bessel"], 10)
-    assert (both.total.first()["total"], both.hits.first()["entry_id"]) == (1, "i1")
-    assert store.facets(["integral"], 1).hits.count() == 0
-    assert store.facets([], 10).total.first()["total"] == 3
-    assert store.facets(["integral", "integral"], 10).total.first()["total"] == 2
-    assert search.facets(store.formulas, ["integral", "integral"], 10, strict=True).total.first()["total"] == 0
-
-
-def test_api(store):
+        filled.fuzzy(tokens, -3, 50)
+    assert [search.pool_for(10, 5), search.pool_for(10, 70)] == [50, 70]
+
+
+def test_facets_narrow_step_by_step(filled):
+    def counted(selected, limit=25):
+        found = filled.facets(selected, limit)
+        return found.total.first()["total"], {r["facet"]: r["n"] for r in found.refine.collect()}, keys(found.hits)
+
+    total, refine, hits = counted(["trigonometric"])
+    assert (total, hits) == (4, [("heat-1", "lhs"), ("wave-1", "lhs"), ("wave-1", "rhs")])  # heat-2 is an occurrence of heat-1
+    assert "trigonometric" not in refine and refine["has-e"] == 2
+    total, refine, hits = counted(["trigonometric", "square-root"])
+    assert (total, hits) == (1, [("wave-1", "rhs")])
+    assert counted(["trigonometric"], 3)[2] == []
+    assert counted([])[0] == 9
+    assert counted(["trigonometric", "trigonometric"])[0] == 4
+    assert search.facets(filled.formulas, ["sum", "sum"], 9, strict=True).total.first()["total"] == 0
+    assert counted(["no-such-facet"]) == (0, {}, [])
+
+
+def test_duplicates_and_their_report(filled):
+    total, groups = filled.duplicates(5)
+    line = search.duplicate_report(groups).first()["line"]
+    assert total == 1 and line.endswith(" ×2 heat-1.lhs, heat-2.lhs") and len(line.split(" ")[0]) == 12
+    assert filled.duplicates(0)[1].count() == 0
+
+
+def test_replacing_a_side_ends_a_duplicate(store):
+    store.add({"id": "p", "lhs": "u^2 + v"})
+    store.add({"id": "q", "lhs": "s + r^2"})
+    assert store.duplicates()[0] == 1
+    store.add({"id": "q", "lhs": "s + r^3"})
+    assert (store.duplicates()[0], store.count()) == (0, 2)
+
+
+# service
+
+
+def test_service_answers(store):
     assert api.stats(store).first()["count"] == 0
-    api.add(store, {"id": "a", "lhs": "a*b + c", "rhs": "Sin[x]"})
-    found = api.search(store, "y + x z")
-    assert found["query_canonical"] == "Plus[Times[v0,v1],v2]"
-    assert found["exact"].first()["identity_mma"] == "a*b + c == Sin[x]"
+    signatures = api.add(store, {"id": "z", "lhs": "Zeta[2]", "rhs": "Pi^2/6"}).first()["signatures"]
+    assert sorted(signatures) == ["lhs", "rhs"]
+    found = api.search(store, "Zeta[2]")
+    assert found["query_canonical"] == "Zeta[#2]" and "warning" not in found
+    assert found["exact"].first()["identity_mma"] == "Zeta[2] == Pi^2/6"
     assert found["fuzzy"].columns == list(api.HIT)
-    assert "error" in api.search(store, "f[")
+    assert set(api.search(store, "Zeta[")) == {"error"}
     with pytest.raises(ValueError):
         api.search(store, "")
-    given = api.facets(store, ["trigonometric"])
-    assert (given["selected"], given["limit"], given["total"].first()["total"], given["hits"].first()["side"]) == (["trigonometric"], 25, 1, "rhs")
-    api.put_proof(store, "a", "lean4", "rfl")
-    assert tuple(api.get_proof(store, "a").first()) == ("a", "lean4", "draft", "rfl")
+    given = api.facets(store, ["has-pi"])
+    assert (given["selected"], given["limit"], given["total"].first()["total"], given["hits"].first()["side"]) == (["has-pi"], 25, 1, "rhs")
+    api.put_proof(store, "z", "coq", "by computation")
+    assert tuple(api.get_proof(store, "z").first()) == ("z", "coq", "draft", "by computation")
+    store.set_meta("engine_probe", "of another engine")
+    assert "stale" in api.search(store, "Zeta[2]")["warning"]
 
 
-def test_proofs_and_staleness(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/p")
-    assert store.stale() == (True, "no engine fingerprint recorded (empty store)")
-    store.reset()
-    assert store.stale() == (False, "")
-    store.set_proof("thm-1", "lean4", b"theorem foo : 1 = 1 := rfl", "verified")
-    store.set_proof("thm-1", "lean4", b"other")
-    row = store.proof("thm-1").first()
-    assert (row["system"], row["status"], bytes(row["proof"])) == ("lean4", "draft", b"other")
-    assert store.proof("none").count() == 0
-    store.set_meta("engine_probe", "old")
-    assert store.stale()[0]
+def test_entries_are_added_whole_or_not_at_all(store):
+    for bad in ({"lhs": "u"}, {"id": "x"}, {"id": "x", "lhs": "u", "rhs": "v["}):
+        with pytest.raises(ValueError):
+            store.add(bad)
+    assert store.count() == 0
+
+
+def test_proofs_are_replaced_and_outlive_a_reset(store):
+    store.set_proof("t", "agda", b"first", "checked")
+    store.set_proof("t", "agda", b"second")
+    store.set_proof("s", "isabelle", b"\x00\xff")
     store.reset()
-    assert store.proof("thm-1").count() == 1
-    store.set_meta("schema_version", "1")
-    assert store.stale() == (True, "schema version 1, not 2")
-    with pytest.raises(ValueError):
-        store.set_proof("x", "", b"p")
+    assert [tuple(r) for r in store.proof("t").select("system", "status", F.decode("proof", "UTF-8")).collect()] == [("agda", "draft", "second")]
+    assert bytes(store.proof("s").first()["proof"]) == b"\x00\xff"
+    assert store.table("proofs").where("updated is null").count() == 0
+    assert store.proof("r").count() == 0
+    for system, proof in (("", b"p"), ("agda", b"")):
+        with pytest.raises(ValueError):
+            store.set_proof("t", system, proof)
 
 
-def test_ingest(spark, tmp_path, capsys):
-    folder = tmp_path / "corpus"
-    folder.mkdir()
-    entries = [
-        {"id": "e1", "lhs": "Sin[x]", "rhs": "Cos[x - Pi/2]", "extra": 1},
-        {"id": "e2", "lhs": "a + b", "rhs": "  "},
-        {"id": "e3", "lhs": "f[", "rhs": "x"},
-        {"id": "e1", "lhs": "Tan[x]"},
-    ]
-    (folder / "a.json").write_text(json.dumps(entries))
-    (folder / "b.json").write_text("[{")
-    (folder / "c.json").write_text(json.dumps([{"id": 5, "lhs": "x"}]))
-    (folder / "d.txt").write_text("no")
-    files = corpus.expand([str(folder)])
-    assert [f.rsplit("/", 1)[1] for f in files] == ["a.json", "b.json", "c.json"]
-    assert corpus.expand([f"{folder}/*.txt"]) == [f"{folder}/d.txt"]
+def test_a_stale_store_is_ingested_afresh(spark, tmp_path, store):
+    store.add({"id": "old", "lhs": "u"})
+    store.set_meta("schema_version", "0")
+    assert store.stale() == (True, "schema version 0, not 2")
+    store.ingest([write(tmp_path / "new.json", entries(("new", "v", "")))])
+    assert store.stale() == (False, "") and keys(store.formulas) == [("new", "lhs")]
+    assert store.meta("nothing") == ""
+
+
+# sources
+
+
+def test_paths(spark, tmp_path, monkeypatch):
+    for name in ("b.json", "a.json", "notes.txt", "below/c.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("[]")
+    assert corpus.expand([str(tmp_path)]) == [f"{tmp_path}/a.json", f"{tmp_path}/b.json"]
+    assert corpus.expand([f"{tmp_path}/*.txt", f"{tmp_path}/a.json", f"{tmp_path}/a.json"]) == [f"{tmp_path}/a.json"] * 2 + [f"{tmp_path}/notes.txt"]
+    remote = corpus.expand([f"file://{tmp_path}", f"file://{tmp_path}/*.txt"], spark)
+    assert [p.rsplit("/", 1)[1] for p in remote] == ["a.json", "b.json", "notes.txt"]
+    monkeypatch.setenv("HOME", str(tmp_path))
+    assert corpus.expand(["~/a.json"]) == [f"{tmp_path}/a.json"]
+    assert corpus.expand_home("~other/a") == "~other/a"
+    for missing in ([f"{tmp_path}/none"], ):
+        with pytest.raises(FileNotFoundError):
+            corpus.expand(missing)
     with pytest.raises(FileNotFoundError):
-        corpus.expand(["/nowhere"])
+        corpus.expand([f"file://{tmp_path}/none"], spark)
+    assert corpus.sources([], [f"{tmp_path}/b.json"]) == [f"{tmp_path}/b.json"]
     with pytest.raises(ValueError):
         corpus.sources([], [])
-    store = Store(spark, f"file://{tmp_path}/store")
-    done = store.ingest(files)
-    assert (done.total, done.indexed) == (6, 5)
-    assert sorted(r["path"].rsplit("/", 1)[1] for r in done.skipped.collect()) == ["b.json", "c.json"]
-    assert done.rejected.first()["entry_id"] == "e3"
-    rows = {(r["entry_id"], r["side"]): r["mma"] for r in store.formulas.collect()}
-    assert rows == {("e1", "lhs"): "Tan[x]", ("e1", "rhs"): "Cos[x - Pi/2]", ("e2", "lhs"): "a + b", ("e3", "rhs"): "x"}
-    before = sorted(map(str, store.formulas.collect()))
-    store.ingest(files)
-    assert sorted(map(str, store.formulas.collect())) == before
-    hit = store.exact("Tan[y]").first()
-    assert hit["identity_mma"] == "Tan[x] == Cos[x - Pi/2]"
-    assert hit["identity_latex"].startswith(r"\tan\!\left(x\right) = ")
+
+
+def test_ingest_skips_files_whole_and_rejects_sides(spark, tmp_path, store):
+    good = write(tmp_path / "1.json", [{"id": "g", "lhs": "u*(v", "rhs": "w", "unknown": [1]}, {"id": "h", "lhs": "  ", "rhs": "v^2"}, {"id": "g", "rhs": "w + 1"}])
+    wrong = [write(tmp_path / "2.json", {"id": "x", "lhs": "u"}), write(tmp_path / "3.json", [{"id": "x", "lhs": 1}]), write(tmp_path / "4.json", ["x"])]
+    done = store.ingest([good, *wrong])
+    assert (done.total, done.indexed, done.rejected.count(), done.skipped.count()) == (4, 3, 1, 3)
+    assert tuple(done.rejected.first())[:3] == ("g", "lhs", "u*(v")
+    assert {(r["entry_id"], r["side"]): r["mma"] for r in store.formulas.collect()} == {("g", "rhs"): "w + 1", ("h", "rhs"): "v^2"}
+    held = sorted(map(str, store.formulas.collect()))
+    store.ingest([good])
+    assert sorted(map(str, store.formulas.collect())) == held
+
+
+def test_ingest_of_arriving_files(spark, tmp_path, store):
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    write(folder / "1.json", entries(("k", "u", ""), ("l", "v", "")))
+    write(folder / "2.json", entries(("k", "u + 1", "")))
+    (folder / "3.json").write_text("not json")
+    query = ingest_stream(spark, f"file://{folder}", store, f"file://{tmp_path}/checkpoint")
+    assert query.awaitTermination(180)
+    assert {r["entry_id"]: r["mma"] for r in store.formulas.collect()} == {"k": "u + 1", "l": "v"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    at = ["-store", f"file://{tmp_path}/store"]
+    said = lambda *argv: (cli.run(spark, [*at, *argv]), *capsys.readouterr())
+    assert said("ingest", write(tmp_path / "c.json", entries(*CORPUS)))[1].startswith("indexed 9 of 9 formulas, 0 not parsed; 9 stored")
+    assert "series-1.rhs" in said("search", "2", "^", "k")[1]
+    assert said("search", "2^")[0] == 1
+    assert "1 formulas" in said("facets", "sum")[1]
+    assert "heat-1.lhs, heat-2.lhs" in said("dedup")[1]
+    (tmp_path / "proof").write_bytes(b"qed")
+    assert said("proof", "-set", str(tmp_path / "proof"), "-system", "hol", "wave-1")[0] == 0
+    assert "hol draft\nqed" in said("proof", "wave-1")[1]
+    assert said("proof", "wave-2")[0] == 1
+    assert said("stats")[1] == "9\n"
+    assert said("version")[1].startswith(f"axiomata {axiomata.__version__}, schema 2")
+    Store(spark, at[1]).set_meta("engine_probe", "another")
+    assert "stale" in said("facets", "sum")[2]
+
+
+def test_settings(tmp_path, monkeypatch):
+    path = write(tmp_path / "c.json", {"search": {"fuzzy_limit": 40, "pool": 20, "more": 1}, "store": "of the file", "corpus": {"roots": ["x"]}, "server": {"read_timeout": 9}})
+    found = settings.load(path)
+    assert (found.search.fuzzy_limit, found.search.pool, found.store, found.corpus.roots, found.server.read_timeout, found.rate_limit.rpm) == (40, 200, "of the file", ("x",), 9, 60)
+    monkeypatch.setenv("AXIOMATA_STORE", "of the environment")
+    assert settings.load(path).store == "of the environment"
+    assert settings.load(path, store="of a flag", fuzzy_limit=3, pool=4).search.pool == 4
+    assert settings.load(path, store="of a flag").store == "of a flag"
+
+
+def test_scratch_folder_must_be_shared(spark, monkeypatch):
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://far:7077"})
+
     with pytest.raises(ValueError):
-        store.add({"id": "z", "lhs": "x", "rhs": "f["})
-    assert store.count() == 4
-    assert cli.run(spark, ["-store", store.root, "search", "a", "+", "b"]) == 0
-    assert "e2.lhs" in capsys.readouterr().out
+        shared_dir(Far)
+    assert shared_dir(spark)
+
+
+# limiter
 
 
-def test_limiter(spark):
-    rate, burst = limiter.per_minute(60, 2)
-    rows = [(i, "user:s", 1000 + i * 0.001, "social") for i in range(3)] + [(10 + i, "user:p", 1000.0, "privileged") for i in range(5)] + [(20, "user:s", 1001.5, "social")]
-    df = spark.createDataFrame(rows, "i long, key string, t double, role string").withColumn("ts", F.timestamp_seconds("t"))
-    found = {r["i"]: r["allowed"] for r in limiter.limited(df, "key", "ts", "i", rate, burst, F.col("role") == "privileged").collect()}
-    assert [found[i] for i in (0, 1, 2, 20)] == [True, True, False, True]
-    assert all(found[10 + i] for i in range(5))
-    assert limiter.per_minute(0, 0) == (1, 60)
+def requests(spark, rows):
+    return spark.createDataFrame(rows, "i long, who string, at double, path string, role string").withColumn("ts", F.timestamp_seconds("at"))
 
 
-def test_limiter_stream(spark, tmp_path):
+def test_limiter_refills_and_spares(spark):
+    rate, burst = limiter.per_minute(30, 3)
+    rows = [(i, "a", 50.0, "/api/x", "social") for i in range(5)] + [(5, "a", 54.0, "/api/x", "social"), (6, "a", 54.0, "/api/x", "social"), (7, "a", 54.0, "/api/x", "social")]
+    rows += [(10 + i, "p", 50.0, "/api/x", "privileged") for i in range(6)] + [(20 + i, "b", 50.0, "/docs", None) for i in range(6)]
+    spared = limiter.exempt(F.col("path"), F.col("role"))
+    found = {r["i"]: r["allowed"] for r in limiter.limited(requests(spark, rows), "who", "ts", "i", rate, burst, spared).collect()}
+    assert [found[i] for i in range(8)] == [True, True, True, False, False, True, True, False]
+    assert all(found[i] for i in found if i >= 10)
+    strict = limiter.exempt(F.col("path"), F.col("role"), privileged=False)
+    found = {r["i"]: r["allowed"] for r in limiter.limited(requests(spark, rows), "who", "ts", "i", rate, burst, strict).collect()}
+    assert [found[10 + i] for i in range(6)] == [True, True, True, False, False, False]
+    assert (limiter.per_minute(-1, 5), limiter.per_minute(90, 0)) == ((1, 5), (1.5, 90))
+
+
+def test_limiter_of_a_stream(spark, tmp_path):
     from axiomata.streaming import limiter as streaming
 
-    df = spark.createDataFrame([(i, "a", 1000.0 + i * 0.001) for i in range(3)], "i long, key string, t double").withColumn("ts", F.timestamp_seconds("t"))
-    df.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    query = streaming.limited(stream, "key", "ts", "i", 1.0, 2, idle_ms=None).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+    rows = requests(spark, [(i, "ab"[i % 2], 9.0 + i / 100, "", "") for i in range(8)])
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = streaming.limited(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "who", "ts", "i", 1.0, 3, idle_ms=None)
+    query = stream.writeStream.format("memory").queryName("limits").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
-    assert sorted((r["i"], r["allowed"]) for r in spark.table("limited").collect()) == [(0, True), (1, True), (2, False)]
+    assert sorted((r["i"], r["allowed"]) for r in spark.table("limits").collect()) == [(i, i < 6) for i in range(8)]
+
+
+# helpers
 
 
-def test_strings(spark):
-    token = "e30.eyJzdWIiOiAibWUifQ.x"
-    row = spark.createDataFrame([("Bearer  abc ", "1.2.3.4, 5.6.7.8", "[::1]:80", '{"id": "7"}', token, "$x^2$,")], "h string, f string, r string, u string, t string, l string").select(
-        strings.bearer(F.col("h")), strings.client_ip(F.col("f"), F.col("r")), strings.client_ip(F.lit(""), F.col("r")), strings.user_info_id(F.col("u")), strings.id_token_subject(F.col("t")),
-        strings.cleaned_latex(F.col("l")), strings.id_token_subject(F.lit("a.b")), strings.user_info_id(F.lit("{}")), strings.display_mma(F.lit(""), F.lit("m")),
-    ).first()
-    assert tuple(row) == ("abc", "1.2.3.4", "::1", "7", "me", "x^2$", None, None, "m") or tuple(row)[5] in ("x^2", "x^2$")
+@pytest.mark.parametrize(
+    ("made", "want"),
+    [
+        (lambda: strings.bearer(F.lit("Bearer  t0ken ")), "t0ken"),
+        (lambda: strings.bearer(F.lit("bearer t0ken")), ""),
+        (lambda: strings.client_ip(F.lit("203.0.113.9 ,198.51.100.1"), F.lit("x:1")), "203.0.113.9"),
+        (lambda: strings.client_ip(F.lit(""), F.lit("[2001:db8::7]:443")), "2001:db8::7"),
+        (lambda: strings.client_ip(F.lit(None).cast("string"), F.lit("198.51.100.1:80")), "198.51.100.1"),
+        (lambda: strings.user_info_id(F.lit('{"sub": "", "id": "77"}')), "77"),
+        (lambda: strings.user_info_id(F.lit('{"name": "n"}')), None),
+        (lambda: strings.id_token_subject(F.lit("aa.eyJzdWIiOiJ4eSJ9.cc")), "xy"),
+        (lambda: strings.id_token_subject(F.lit("aa.eyJzdWIiOiJ4eSJ9")), None),
+        (lambda: strings.cleaned_latex(F.lit("  $$u^2$$  ")), "u^2"),
+        (lambda: strings.cleaned_latex(F.lit("$u^2$.")), "u^2$"),
+        (lambda: strings.cleaned_latex(F.lit("$u^2 , $")), "u^2"),
+        (lambda: strings.shortened(F.lit("abcdef"), 4), "abcd…"),
+        (lambda: strings.display_latex(F.lit(""), F.lit("l")), "l"),
+        (lambda: strings.display_mma(F.lit(None).cast("string"), F.lit(None).cast("string")), ""),
+        (lambda: strings.subject(F.lit("idp"), F.lit("me")), "idp:me"),
+    ],
+)
+def test_strings(spark, made, want):
+    assert spark.range(1).select(made().alias("x")).first()["x"] == want
