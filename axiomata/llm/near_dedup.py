@@ -3,10 +3,11 @@
 A signature is cut into TREES labels of DEPTH values. Each tree is a sorted order of all labels;
 documents next to each other there share the longest prefixes, so the order itself is as deep as
 a region needs: among many similar documents, neighbours agree in many values, elsewhere in few.
-Neighbours that share at least LEAST values are candidates, confirmed on their full shingle sets.
+Neighbours that share enough first values are candidates, confirmed on their full shingle sets: as
+many as leave a pair at the threshold a chance of MISS at most to share fewer in every tree.
 The second round widens the windows among neighbours that are still in different components.
 
-Rows that share their first LEAST values in a tree are a region. The windows cover small regions
+Rows that share so many first values in a tree are a region. The windows cover small regions
 whole. Documents of larger ones that hold several components are joined on prefixes: in any one
 order of all shingles, two sets that are similar enough share one of the first
 n - ceil(n * PERCENT / 100) + 1 of each. Rare shingles go first, so what many documents share, as
@@ -27,7 +28,7 @@ from axiomata.llm import shingles
 from axiomata.llm.components import components
 from axiomata.llm.tables import Scratch, table
 
-TREES, DEPTH, LEAST = 16, 8, 4
+TREES, DEPTH, MISS = 16, 8, 2e-5
 #: Rows on either side that are neighbours in each round; larger regions are joined on prefixes.
 WINDOWS = (2, 10)
 #: Links need 100 * intersection >= PERCENT * union.
@@ -82,10 +83,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def least_common(percent: int) -> int:
+    """First values that candidates have in common: 4 at 85, 3 at 80."""
+    return max(d for d in range(1, DEPTH + 1) if d == 1 or (1 - (percent / 100) ** d) ** TREES <= MISS)
+
+
 def neighbours(tree: np.ndarray, label: np.ndarray, rep: np.ndarray, comp: np.ndarray, size: np.ndarray, percent: int, past: int, to: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs among rows in label order, past ``past`` and up to ``to`` places apart."""
     n = len(rep)
-    same = (label[1:] == label[:-1]).cumprod(axis=1).sum(axis=1) >= LEAST
+    same = (label[1:] == label[:-1]).cumprod(axis=1).sum(axis=1) >= least_common(percent)
     same &= tree[1:] == tree[:-1]
     region = np.concatenate([[0], np.cumsum(~same)])
     pairs = [(np.arange(n - k), np.arange(k, n)) for k in range(past + 1, to + 1) if n > k]
@@ -137,9 +143,9 @@ def candidates(forest: DataFrame, scratch: Scratch, rows: int, percent: int, win
     return pairs.distinct()
 
 
-def dense(forest: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+def dense(forest: DataFrame, scratch: Scratch, percent: int, window: int) -> DataFrame:
     """rep, comp of the rows in regions of several components that windows don't cover."""
-    region = F.substring("label", 1, 4 * LEAST).alias("region")
+    region = F.substring("label", 1, 4 * least_common(percent)).alias("region")
     sizes = forest.groupBy("tree", region).agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     large = scratch.keep(sizes.where((F.col("n") > window + 1) & (F.col("low") < F.col("high"))).select("tree", "region"))
     rows = forest.select("tree", region, "rep", "comp")
@@ -313,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
         found = confirmed(scratch.keep(candidates(planted(), scratch, rows, percent, window)), docs, scratch, percent)
         links = found if links is None else links.unionByName(found)
         roots = components(links, scratch)
-    inside = dense(planted(), scratch, WINDOWS[-1])
+    inside = dense(planted(), scratch, percent, WINDOWS[-1])
     if not inside.isEmpty():
         found = confirmed(scratch.keep(prefix_pairs(inside, docs, scratch, percent)), docs, scratch, percent)
         links = links.unionByName(found)
