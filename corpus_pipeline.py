@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near-duplicates."""
-    return near_dedup.representatives(docs.select(*COLUMNS))
+    """Keeps the smallest doc_id of each component of near-duplicates, of a similarity of 0.8 or more."""
+    return near_dedup.representatives(docs.select(*COLUMNS), percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
