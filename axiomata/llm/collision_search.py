@@ -34,12 +34,20 @@ def directions(dim: int, m: int = M) -> np.ndarray:
     return np.random.default_rng(SEED + dim).standard_normal((dim, m))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest components are from 0.5 to 1.
+
+    That leaves cosines as they are, to the last bit, and keeps squares from over- and underflowing.
+    """
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 class Block:
-    """The sorted arrays of up to 65,535 vectors."""
+    """The sorted arrays of up to 65,535 vectors, of any magnitude."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int = M):
         self.ids = ids
-        self.vectors = vectors
+        self.vectors = vectors = scaled(vectors)
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.a = directions(vectors.shape[1], m)
         marks = ((vectors / self.norms[:, None]) @ self.a).T
@@ -60,6 +68,7 @@ class Block:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query, ids and cosines of the k best verified vectors, ties to the smaller id."""
+        queries = scaled(queries)
         own = np.sqrt((queries * queries).sum(1))
         marks = (queries / own[:, None]) @ self.a
         need = max(1, int(np.ceil(SHARE * len(self.marks))))
@@ -147,7 +156,7 @@ def nearest(vectors: DataFrame, k: int = 5, is_query=None, key: str = "vec_id",
 
     Queries are the rows for which ``is_query`` holds (by default, ids divisible by 50). Vectors
     that are null, zero or hold null or non-finite components take no part; vectors are compared
-    with those of their own length. A repeated id counts once per distinct vector as a candidate
+    with those of their own length, at any magnitude. Only the two named columns are read. A repeated id counts once per distinct vector as a candidate
     and its first vector is the query. Fewer than k candidates give fewer rows, an empty table
     none. Blocks bound memory: every block is searched by every query, and the lists are merged.
     """
