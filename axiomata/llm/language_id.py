@@ -2,7 +2,7 @@
 
 The kernel of two texts is the cosine of their sets of 1- to 3-grams over a reduced alphabet:
 common n-grams over the root of the product of the set sizes. A bounded sample of labelled texts
-(``PER_LANGUAGE`` of each language, those with the smallest hashes) is split into landmarks and
+(``PER_LANGUAGE`` of each language, chosen by hashes) is split into landmarks and
 training rows; Nystroem features against the landmarks are fitted by one-versus-rest kernel ridge
 regression. Documents are scored in batches: presence matrix times landmarks, times coefficients.
 """
@@ -17,15 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from axiomata.llm.tables import table
 
-#: Labelled rows read per language, landmarks per language, characters of a training text, languages at most.
+#: Bounds of what is learnt from: labelled rows per language, landmarks per language, characters of a training text (a stretch from anywhere in it), languages (the most frequent).
 PER_LANGUAGE, LANDMARKS, TRAIN_CHARS, LANGUAGES = 400, 40, 4000, 200
 RIDGE = 1e-2
-#: Parts in which the rows of a language are ranked first.
-PARTS = 64
+#: Rows asked for, as a multiple of PER_LANGUAGE, since chance decides how many the hashes choose.
+SPARE = 1.5
 #: Documents scored by one matrix product, and bytes of text looked up at a time.
 ROWS, STRETCH = 256, 1 << 20
 UNKNOWN = "und"
@@ -115,18 +114,27 @@ def fit(samples: list[tuple[str, str]], per_language: int = LANDMARKS, ridge: fl
 
 
 def sampled(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts, each language's rows with the smallest hashes, in that order."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    keys = labelled.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).dropDuplicates(["doc_id", "lang"])
-    # first within parts of a language, so that a frequent one isn't ranked by one task; its smallest hashes are among its parts'
-    first = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    keys = keys.withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
-    keys = keys.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).orderBy("k", "lang").limit(per_language * LANGUAGES)
-    wanted = keys.select("doc_id", F.col("lang").alias("lang_"), "k")
-    rows = labelled.join(F.broadcast(wanted), "doc_id").where(F.col("lang") == F.col("lang_"))
-    texts = rows.select("k", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
-    return [(r["text"], r["lang"]) for r in sorted(texts, key=lambda r: (r["k"], r["lang"], r["text"])) if has_letter(r["text"])]
+    """A bounded sample of labelled texts: of each language the documents with the smallest hashes, one row of each, in that order.
+
+    How many documents a language has says below which hash enough of them lie, so no task ranks a
+    language, and rows that repeat an id are one before they are collected.
+    """
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    keys = labelled.select("lang", "h").distinct()
+    sizes = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = F.least(F.lit(SPARE * per_language) / F.col("count"), F.lit(1.0))
+    below = F.broadcast(sizes.select("lang", share.alias("share")))  # LANGUAGES rows
+    place = F.col("h").cast("double") / F.lit(float(2**64)) + 0.5
+    stretch = F.substring("text", F.pmod(F.col("h"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1, F.lit(TRAIN_CHARS))
+    chosen = labelled.join(below, "lang").where(place <= F.col("share")).select("lang", "h", stretch.alias("text"))
+    rows = chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    taken: dict[str, int] = {}
+    found = []
+    for r in sorted(rows, key=lambda r: (r["h"], r["lang"])):
+        taken[r["lang"]] = k = taken.get(r["lang"], 0) + 1
+        if k <= per_language and has_letter(r["text"]):
+            found.append((k, r["lang"], r["text"]))
+    return [(text, lang) for _, lang, text in sorted(found, key=lambda x: x[:2])]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
