@@ -6,8 +6,9 @@ by word. The piece table is a merge (BPE) model, whose segmentation isn't the pa
 sum that Viterbi's recurrence finds; so the fold over a word's edges merges, at every step, the
 two neighbours whose edge has the best score, leftmost first, until no edge joins two neighbours.
 
-The frequent words of the corpus go through ``lattice``, in DataFrame operations, into a lexicon
-of bounded size; tasks fold the lattices of other words themselves, by the same rule.
+The words that make up one of every LEXICON words of the corpus or more go through ``lattice``, in
+DataFrame operations, into a lexicon; there are never more of them than that. Tasks fold the
+lattices of other words themselves, by the same rule.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from axiomata.llm.tables import Scratch, table
 
 BLANK = "▁"
-#: Words of the lexicon, and characters of a word in it.
-FREQUENT, LONGEST = 20_000, 32
+#: A word is in the lexicon if it is one of every so many or more frequent; characters of a word in it.
+LEXICON, LONGEST = 200_000, 32
 #: Words whose ids a worker remembers, and whose counts it holds back.
 REMEMBERED, PENDING = 400_000, 200_000
 #: Characters encoded together.
@@ -168,7 +169,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lattice(words: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
-    """(word, ids) of distinct words of up to LONGEST characters, in DataFrame operations."""
+    """(word, ids) of distinct words of up to LONGEST characters, in DataFrame operations.
+
+    The places between a word's characters are bits of a number, set where neighbours meet. An edge
+    knows the bits at its ends and those between them; it joins two neighbours if both ends are set
+    and one bit between is, which the fold then clears, for the best such edge at every step.
+    """
     spark = words.sparkSession
     listed = [(p, k, float(s)) for p, (k, s) in pieces.table.items()]
     table_ = spark.createDataFrame(listed, "piece string, id int, score double")  # the model's pieces: a fixed number
@@ -176,29 +182,43 @@ def lattice(words: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
         F.flatten(F.transform(F.sequence(F.lit(0), F.length(word) - 1), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length(word) - a)), lambda n: F.struct(a.alias("a"), (a + n).alias("b")))))
     ).alias("s")
     substrings = words.where(F.length(word) > 0).select(word, spans).select(word, "s.a", "s.b", F.substring(F.col(word), F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("piece"))
-    edges = substrings.join(F.broadcast(table_), "piece").groupBy(word).agg(F.map_from_entries(F.collect_list(F.struct((F.col("a") * 64 + F.col("b")).alias("k"), F.struct("score", "id").alias("v")))).alias("edges"))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    ends = bit(F.col("a")).bitwiseOR(bit(F.col("b")))
+    inner = bit(F.col("b")) - bit(F.col("a") + 1)
+    edge = F.struct((-F.col("score")).alias("cost"), "a", "b", ends.alias("ends"), inner.alias("inner"), "id")
+    edges = substrings.join(F.broadcast(table_), "piece").groupBy(word).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     known = words.select(word).distinct().join(edges, word, "left")
-    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<struct<score:double,id:int>>"))
-    known = known.withColumn("edges", F.coalesce("edges", none))
+    none = F.array().cast("array<struct<cost:double,a:int,b:int,ends:bigint,inner:bigint,id:int>>")
+    known = known.where(F.length(word) > 0).withColumn("edges", F.coalesce("edges", none))
 
     def merge(cuts: Column, _: Column) -> Column:
-        joins = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.struct(F.try_element_at(F.col("edges"), F.get(cuts, i) * 64 + F.get(cuts, i + 2))["score"].alias("score"), (-i).alias("i")))
-        best = F.array_max(F.filter(joins, lambda j: j["score"].isNotNull()))
-        gone = 1 - F.get(F.array(best), F.lit(0))["i"]
-        return F.when(F.size(cuts) < 3, cuts).otherwise(F.coalesce(F.when(best.isNotNull(), F.filter(cuts, lambda c: c != F.get(cuts, gone))), cuts))
+        def joins(e: Column) -> Column:
+            between = cuts.bitwiseAND(e["inner"])
+            return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (between != 0) & (between.bitwiseAND(between - 1) == 0)
+
+        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(F.get(F.filter("edges", joins), F.lit(0))["inner"])), cuts)
+
+    start = bit(F.length(word) + 1) - 1
+    places = F.sequence(F.lit(0), F.length(word))
+
+    def ids(cuts: Column) -> Column:
+        def of(a: Column, i: Column) -> Column:
+            b = F.get(cuts, i + 1)
+            hit = F.get(F.filter("edges", lambda e: (e["a"] == a) & (e["b"] == b)), F.lit(0))["id"]
+            raw = F.hex(F.encode(F.substring(F.col(word), a + 1, b - a), "UTF-8"))
+            spelt = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda k: F.conv(F.substring(raw, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + pieces.byte[0])
+            return F.when(hit.isNotNull(), F.array(hit)).otherwise(spelt)
+
+        return F.flatten(F.transform(F.slice(cuts, 1, F.size(cuts) - 1), of))
 
-    start = F.sequence(F.lit(0), F.length(word))
-    cuts = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, merge)
-    folded = known.where(F.length(word) > 0).withColumn("cuts", cuts)
+    folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, merge)
+    found = _bind(folded, lambda still: _bind(F.filter(places, lambda at: still.bitwiseAND(bit(at)) != 0), ids))
+    return known.select(word, found.alias("ids"))
 
-    def ids(a: Column, i: Column) -> Column:
-        b = F.get(F.col("cuts"), i + 1)
-        hit = F.try_element_at(F.col("edges"), a * 64 + b)["id"]
-        raw = F.hex(F.encode(F.substring(F.col(word), a + 1, b - a), "UTF-8"))
-        spelt = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda k: F.conv(F.substring(raw, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + pieces.byte[0])
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(spelt)
 
-    return folded.select(word, F.flatten(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), ids)).alias("ids"))
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 _loaded: dict[str, Pieces] = {}
@@ -239,12 +259,13 @@ def encoded(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = pieces_of(path)
     scratch = Scratch(spark, "pieces")
-    counts = docs.select("text").mapInArrow(_counted, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    frequent = counts.where(F.length("part") < LONGEST).orderBy(F.desc("n"), "part").limit(FREQUENT)
+    counts = scratch.keep(docs.select("text").mapInArrow(_counted, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = counts.where((F.length("part") < LONGEST) & (F.col("n") * LEXICON >= total))
     words = frequent.select("part", F.when(F.col("part").startswith("\n"), F.col("part")).otherwise(F.concat(F.lit(BLANK), F.col("part"))).alias("word"))
     words = scratch.keep(words)
     spelt = scratch.keep(words.join(lattice(words, pieces), "word").select("part", "ids"))
-    lexicon = {r["part"]: np.array(r["ids"], "<u4").tobytes() for r in spelt.collect()}  # FREQUENT rows at most
+    lexicon = {r["part"]: np.array(r["ids"], "<u4").tobytes() for r in spelt.collect()}  # LEXICON rows at most
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -360,9 +360,73 @@ def test_language(shared, odd, none):
     assert language_id.identified(none).count() == 0
 
 
+def plain_grams(text):
+    raw = text.encode()
+    symbols = [1 + (c | 32) - 97 if 97 <= (c | 32) < 123 and c < 128 else 27 + (c - 128) % 37 if c >= 128 else 0 for c in raw]
+    return {tuple(symbols[i : i + n]) for n in (1, 2, 3) for i in range(len(symbols) - n + 1)}
+
+
+def test_language_kernel_and_ridge(texts):
+    """Kernels are cosines of n-gram sets, and the weights solve the regularised least squares over Nystroem features."""
+    chosen = [t for t in texts.values() if language_id.has_letter(t) and len(t) < 4000][:24]
+    samples = [(t, "ab"[k % 2]) for k, t in enumerate(chosen)]
+    model = language_id.fit(samples, per_language=6)
+    assert model.langs == ["a", "b"] and model.landmarks.shape[1] == 12
+    landmarks = [t for t, lang in samples if lang == "a"][:6], [t for t, lang in samples if lang == "b"][:6]
+    order = [x for pair in zip(*landmarks, strict=True) for x in pair]
+    sets = [plain_grams(t) for t in order]
+    kernel = lambda t: np.array([len(plain_grams(t) & s) / np.sqrt(len(plain_grams(t)) * len(s)) for s in sets])
+    fresh = ["Une phrase é 12", "zzz", "The quick brown fox ß"]
+    got = model.scores(fresh)
+    assert got == pytest.approx(np.array([kernel(t) @ model.weights[:-1] + model.weights[-1] for t in fresh]), abs=1e-4)
+    among = np.array([kernel(t) for t in order])
+    values, vectors = np.linalg.eigh(among + 1e-6 * np.eye(12))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-8))) @ vectors.T
+    rows = [kernel(t) for t in [t for t, _ in samples] + [t[:120] for t, _ in samples]]
+    features = np.hstack([np.array(rows) @ root, np.ones((len(rows), 1))])
+    target = np.array([[1.0 if lang == x else -1.0 for x in "ab"] for _, lang in samples] * 2)
+    share = 1 / 12
+    solved = np.linalg.solve(features.T @ features * share + np.diag([language_id.RIDGE] * 12 + [0.0]) + 1e-9 * np.eye(13), features.T @ target * share)
+    assert got == pytest.approx(np.array([np.append(kernel(t) @ root, 1) @ solved for t in fresh]), abs=5e-3)
+
+
+def test_language_sample_has_one_row_of_an_id(shared):
+    rows = [(1, "the same id again and again " + str(k), "en") for k in range(300)] + [(k, f"ein Satz über {k}", "de") for k in range(2, 900)] + [(k, "x", None) for k in range(1000, 1100)]
+    docs = shared.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.sampled(docs, F.lit(True), 50)
+    assert [lang for _, lang in found].count("en") == 1
+    assert [lang for _, lang in found].count("de") == 50
+    assert found == language_id.sampled(docs.repartition(7), F.lit(True), 50)
+
+
 # neighbours
 
 
+def test_vectors_of_any_magnitude(shared):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((300, 16))
+    want = collision_search.Block(np.arange(300), base).search(np.arange(5), base[:5], 5)
+    for factor in (1e-300, 1e-170, 1e170, 1e300, 5e-324 * 2**60):
+        block = collision_search.Block(np.arange(300), base * factor)
+        for (ids, scores), (ids_, scores_) in zip(block.search(np.arange(5), base[:5], 5), want, strict=True):
+            assert ids.tolist() == ids_.tolist() and scores == pytest.approx(scores_, abs=1e-4 if factor < 1e-300 else 1e-12)
+    mixed = base * 10.0 ** rng.integers(-200, 200, (300, 1))
+    docs = shared.createDataFrame([(k, v.tolist(), 1, 2, "x") for k, v in enumerate(mixed)] + [(400, [0.0] * 16, 1, 2, "x"), (450, None, 1, 2, "x")], "vec_id long, embedding array<double>, rank int, query_id int, score string")
+    got = {(r["query_id"], r["rank"]): r["score"] for r in collision_search.nearest(docs).collect()}
+    unit = base / np.sqrt((base * base).sum(1))[:, None]
+    for q in range(0, 300, 50):
+        best = np.sort(np.delete(unit @ unit[q], q))[::-1][:5]
+        assert [got[q, k] for k in range(1, 6)] == pytest.approx(best.tolist(), abs=1e-12)
+    assert len(got) == 30
+
+
+def test_long_vectors(shared):
+    rng = np.random.default_rng(5)
+    data = [(k, rng.standard_normal(3000).tolist()) for k in range(60)]
+    got = collision_search.nearest(shared.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 10 and all(-1 <= r["score"] <= 1 for r in got)
+
+
 def test_collision_search(shared):
     rows = shared.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     data = [(r["vec_id"], r["embedding"]) for r in rows.collect()]
