@@ -1,10 +1,10 @@
 """Nearest neighbours by counting collisions in single-projection sorted arrays.
 
 Every valid vector is indexed: it is normalised and projected on M random directions, and each
-block of vectors keeps one sorted array per direction, as projections and as ranks. Around a
-query's own projection a window is taken in every array; windows widen by a factor (virtual
-rehashing) until enough vectors collide with the query in a share of the arrays. Those vectors
-are verified with the exact cosine in double precision. Widening stops for a query once its k-th
+block of vectors keeps one sorted array of projections per direction. Around a query's own
+projection a window is taken in every array; windows widen by a factor (virtual rehashing), and
+only the vectors that newly lie in them are counted, until enough collide with the query in a
+share of the arrays. Those vectors are verified with the exact cosine in double precision. Widening stops for a query once its k-th
 verified distance lies within the windows, or the windows hold the whole block.
 """
 
@@ -51,20 +51,20 @@ class Block:
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.a = directions(vectors.shape[1], m)
         marks = ((vectors / self.norms[:, None]) @ self.a).T
-        order = np.argsort(marks, axis=1, kind="stable")
-        self.marks = np.take_along_axis(marks, order, axis=1)
-        self.ranks = np.empty(marks.shape, np.uint16)
-        np.put_along_axis(self.ranks, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
-
-    def collisions(self, marks: np.ndarray, width: float) -> np.ndarray:
-        """For queries (rows of ``marks``) and vectors: in how many arrays the vector is in the window."""
-        counts = np.zeros((len(marks), len(self.ids)), np.uint8)
+        self.order = np.argsort(marks, axis=1, kind="stable")
+        self.marks = np.take_along_axis(marks, self.order, axis=1)
+
+    def widen(self, marks: np.ndarray, width: float, low: np.ndarray, high: np.ndarray, counts: np.ndarray) -> None:
+        """Widens the windows (``low``, ``high``: places in every array) of some queries, and counts what comes to lie in them."""
+        below, above = np.empty_like(low), np.empty_like(high)
         for j, row in enumerate(self.marks):
-            lo = np.searchsorted(row, marks[:, j] - width)
-            span = np.searchsorted(row, marks[:, j] + width, "right") - lo
-            inside = (self.ranks[j][None, :] - lo.astype(np.uint16)[:, None]) < span.astype(np.uint16)[:, None]
-            counts += inside.view(np.uint8)
-        return counts
+            below[:, j] = np.searchsorted(row, marks[:, j] - width)
+            above[:, j] = np.searchsorted(row, marks[:, j] + width, "right")
+        for i in range(len(marks)):
+            edges = zip(self.order, below[i].tolist(), low[i].tolist(), high[i].tolist(), above[i].tolist(), strict=True)
+            fresh = [part for row, a, b, c, d in edges for part in (row[a:b], row[c:d])]
+            counts[i] += np.bincount(np.concatenate(fresh), minlength=len(self.ids)).astype(counts.dtype)
+        low[:], high[:] = below, above
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query, ids and cosines of the k best verified vectors, ties to the smaller id."""
@@ -74,8 +74,13 @@ class Block:
         need = max(1, int(np.ceil(SHARE * len(self.marks))))
         found: list = [None] * len(queries)
         active, width = np.arange(len(queries)), WIDTH
+        low = np.stack([np.searchsorted(row, marks[:, j]) for j, row in enumerate(self.marks)], axis=1)
+        high, counts = low.copy(), np.zeros((len(queries), len(self.ids)), np.uint8)
         while len(active):
-            hit = self.collisions(marks[active], width) >= need
+            lows, highs, found_there = low[active], high[active], counts[active]
+            self.widen(marks[active], width, lows, highs, found_there)
+            low[active], high[active], counts[active] = lows, highs, found_there
+            hit = found_there >= need
             hit &= self.ids[None, :] != query_ids[active, None]
             whole = width >= 2 * np.abs(self.marks).max() + 1e-9
             if whole:

@@ -154,6 +154,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every rule of the policy does on ``documents``, from the ledger's bits alone."""
+    return ablations(ledger(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 #: The same in DuckDB.
 ORACLE = r"""
 WITH w AS (
@@ -184,3 +189,11 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
        fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+ABLATIONS_ORACLE = (
+    "WITH book AS ("
+    + ORACLE
+    + """), rules(place, rule) AS (VALUES (0, 'few_words'), (1, 'repeated_windows'), (2, 'symbols'), (3, 'short_words'), (4, 'long_words'), (5, 'duplicate_lines'), (6, 'shouting'))
+SELECT place, rule, count(*) FILTER (fail_bits & (1 << place) <> 0) AS n_failed, count(*) FILTER (fail_bits = (1 << place)) AS n_sole, count(*) FILTER (fail_bits & ~(1 << place)::BIGINT = 0) AS n_kept_without
+FROM book, rules GROUP BY place, rule"""
+)

@@ -4,6 +4,7 @@ from axiomata.llm import collision_search, language_id, lm_scoring, near_dedup,
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "rule_ablations": quality_rules.rule_ablations,
     "op1_repeat_index": repeat_index.op1_repeat_index,
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_sanitise": sanitise.op3_sanitise,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 ORACLES = {
     "op8_quality_rules": quality_rules.ORACLE,
+    "rule_ablations": quality_rules.ABLATIONS_ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
