@@ -1,6 +1,7 @@
 """The store end to end: versions, upsert, searches, facets, duplicates, proofs, staleness, ingest; limiter and helpers."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -332,6 +333,21 @@ def test_limiter_of_a_stream(spark, tmp_path):
     assert sorted((r["i"], r["allowed"]) for r in spark.table("limits").collect()) == [(i, i < 6) for i in range(8)]
 
 
+def test_idle_buckets_are_dropped(spark, tmp_path):
+    from axiomata.streaming import limiter as streaming
+
+    rows = requests(spark, [(i, "abc"[i % 3], 9.0, "", "") for i in range(6)])
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = streaming.limited(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "who", "ts", "i", 1.0, 3, idle_ms=500)
+    query = stream.writeStream.format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(processingTime="1 second").start()
+    held, until = [], time.time() + 90
+    while time.time() < until and not (max(held, default=0) == 3 and held[-1] == 0):
+        time.sleep(0.5)
+        held += [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]][len(held) :]
+    query.stop()
+    assert max(held) == 3 and held[-1] == 0
+
+
 # helpers
 
 
