@@ -42,6 +42,21 @@ def features_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"tokens": [features.tokens_from(t or "") for t in batch], "facets": [features.facets_from(t or "") for t in batch]})
 
 
+@F.pandas_udf(_STRING)
+def read_error(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Why a text isn't canonical, or null."""
+
+    def why(text: str) -> str | None:
+        try:
+            features.read(text or "")
+        except features.CanonicalError as e:
+            return str(e)
+        return None
+
+    for batch in texts:
+        yield batch.map(why)
+
+
 def with_features(formulas: DataFrame, form: str = "canonical") -> DataFrame:
     """Adds tokens and facets, read once per distinct canonical text."""
     once = formulas.select(form).distinct().withColumn("_f", features_of(F.col(form)))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from axiomata.functions import canonical as forms
 from axiomata.functions import features
 from axiomata.functions import strings
-from axiomata.functions.analysis import generalized, rational_of
+from axiomata.functions.analysis import generalized, rational_of, read_error
 from axiomata.functions.nodes import edge_tokens, nodes
-from axiomata.operators import limiter, search
+from axiomata.operators import api, limiter, search
 from axiomata.operators.scratch import fresh_dir, kept
 from axiomata.operators.store import Store
 from axiomata.plans.derived import FACETS_SQL, FORMS_SQL, PART_SQL, STORED_SQL, TOKENS_SQL, part_entries, part_formulas, part_indexed, part_store, source_entries, table, write_corpus
@@ -444,6 +444,71 @@ def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "step string, stale boolean, reason string, engine_probe string, schema_version string")
 
 
+_BROKEN = "'canonical parse error at '"
+
+
+@query(
+    f"""WITH {PART_SQL} SELECT entry_id, CASE substr(entry_id, -1) WHEN '0' THEN {_BROKEN} || length(canonical) || ': trailing input'
+      WHEN '1' THEN {_BROKEN} || (length(canonical) - 1) || ': expected ' || chr(39) || ']' || chr(39) WHEN '2' THEN {_BROKEN} || '5: expected a term' END AS error FROM formulas"""
+)
+def canonical_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical texts that go on, end early or lack an operand, by the last digit of the part; others are read."""
+    form, digit = F.col("canonical"), F.substring("entry_id", -1, 1)
+    early = F.substring(form, F.lit(1), F.length(form) - 1)
+    broken = F.when(digit == "0", F.concat(form, F.lit("]"))).when(digit == "1", early).when(digit == "2", F.replace(form, F.lit("Plus["), F.lit("Plus[,"))).otherwise(form)
+    return part_formulas(spark, sf_dir).withColumn("canonical", broken).select("entry_id", read_error("canonical").alias("error"))
+
+
+@query("SELECT * FROM (VALUES ('folder', 'a.json b.json'), ('glob', 'notes.txt'), ('twice', 'a.json a.json'), ('missing', 'error'), ('none given', 'error'), ('roots', 'b.json')) AS v(paths, found)")
+def corpus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders, globs and files of a corpus in the shared folder."""
+    root = fresh_dir(spark, "paths")
+    root = root if "://" in root else f"file://{root}"
+    for name in ("b.json", "a.json", "notes.txt", "below/c.json"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True).close()
+
+    def found(paths: list[str], roots: tuple[str, ...] = ()) -> str:
+        try:
+            return " ".join(p.rsplit("/", 1)[1] for p in corpus.sources(paths, list(roots), spark))
+        except (FileNotFoundError, ValueError):
+            return "error"
+
+    asked = {"folder": [root], "glob": [f"{root}/*.txt"], "twice": [f"{root}/a.json"] * 2, "missing": [f"{root}/none"], "none given": []}
+    rows = [(k, found(v)) for k, v in asked.items()] + [("roots", found([], (f"{root}/b.json",)))]
+    return spark.createDataFrame(rows, "paths string, found string")
+
+
+@query(
+    f"""WITH {STORED_SQL}, h AS (SELECT count(*) AS n FROM stored WHERE canonical = '{ASKED_FORM}'), f AS (SELECT count(*) AS n FROM stored WHERE list_contains(string_split(facets, ' '), 'sum'))
+    SELECT 'count' AS field, (SELECT count(*) FROM stored)::VARCHAR AS value UNION ALL SELECT 'exact occurrences', n::VARCHAR FROM h UNION ALL SELECT 'facets total', n::VARCHAR FROM f
+    UNION ALL SELECT * FROM (VALUES ('query_canonical', '{ASKED_FORM}'), ('first of fuzzy', '{ASKED_FORM}'), ('error', 'expected ] at 10'), ('no query', 'q is required'), ('facets limit', '25'), ('added lhs', sha256('Zeta[#2]')),
+      ('added rhs', sha256('Times[#1/6,Power[$Pi,#2]]')), ('refused', 'rhs: expected ] at 4'), ('no id', 'id is required'), ('proof', 'coq draft by computation'), ('no proof', '')) AS v(field, value)"""
+)
+def service_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the service answers on the derived store, and on a new one that is added to."""
+    store, fresh = part_store(spark, sf_dir), Store(spark, fresh_dir(spark, "service"))
+
+    def refused(of) -> str:
+        try:
+            of()
+        except ValueError as e:
+            return str(e)
+        return ""
+
+    found, facet = api.search(store, ASKED), api.facets(store, ["sum"])
+    added = api.add(fresh, {"id": "z", "lhs": "Zeta[2]", "rhs": "Pi^2/6"}).first()["signatures"]
+    api.put_proof(fresh, "z", "coq", "by computation")
+    proof = lambda k: " ".join(str(x) for r in api.get_proof(fresh, k).select("system", "status", "proof").collect() for x in r)
+    answers = {
+        "count": api.stats(store).first()["count"], "query_canonical": found["query_canonical"], "exact occurrences": len(found["exact"].first()["occurrences"]),
+        "first of fuzzy": store.fuzzy(features.tokens_from(ASKED_FORM), 1).first()["canonical"], "error": api.search(store, "Binomial[i")["error"], "no query": refused(lambda: api.search(store, "")),
+        "facets total": facet["total"].first()["total"], "facets limit": facet["limit"], "added lhs": added["lhs"], "added rhs": added["rhs"],
+        "refused": refused(lambda: api.add(fresh, {"id": "y", "lhs": "u", "rhs": "f[uu"})), "no id": refused(lambda: api.add(fresh, {"lhs": "u"})), "proof": proof("z"), "no proof": proof("y"),
+    }
+    return spark.createDataFrame([(k, str(v)) for k, v in answers.items()], "field string, value string")
+
+
 # helpers of the service
 
 
