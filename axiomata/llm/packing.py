@@ -41,8 +41,8 @@ TOGETHER = 1 << 20
 RATE, PART, CRUMB, BLOCK = 0.1, 0.5, 0.02, 1024
 #: The gap between a program's value and the bound at which passes end.
 GAP = 0.01
-#: Tokens that a rounded configuration may leave empty; pieces left that are filled in without a program.
-SLACK, FEW = 8, 512
+#: Tokens that a rounded configuration may leave empty beyond the program's gap; pieces left that are filled in without a program.
+SLACK, FEW = 4, 256
 SEED = 20260106
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
