@@ -39,7 +39,7 @@ from axiomata.llm.tables import Scratch, table
 
 LENGTH, GRAM = 50, 22
 #: Bytes of text in a batch, hashed together, and behind one bucket.
-BATCH, STRETCH, BUCKET = 4 << 20, 1 << 20, 12 << 20
+BATCH, STRETCH, BUCKET = 4 << 20, 1 << 20, 8 << 20
 #: An anchor is hot from so many contexts, and from one of so many of all; there are never more hot ones than that. A batch reports anchors from LOCAL contexts.
 HOT, HOT_PART, LOCAL = 50_000, 1_000_000, 4
 
@@ -206,7 +206,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_order(text: np.ndarray, widths: np.ndarray) -> np.ndarray:
     """All places of some texts in the order of the suffixes that start there; each ends with its text, and of equal ones the earlier text's comes first."""
     n, depth = len(text), 7
-    left = np.repeat(np.cumsum(widths), widths) - np.arange(n)  # bytes to the end of the own text
+    left = (np.repeat(np.cumsum(widths), widths) - np.arange(n)).astype(np.int32)  # bytes to the end of the own text
     padded = np.concatenate([text, np.zeros(depth, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(depth):
@@ -214,11 +214,11 @@ def suffix_order(text: np.ndarray, widths: np.ndarray) -> np.ndarray:
     key = (key << np.uint64(8)) | np.minimum(left, depth).astype(np.uint64)
     longest = int(widths.max(initial=0))
     while depth < longest:
-        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-        after = np.zeros(n, np.uint64)
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint32)
+        key = rank.astype(np.uint64)
+        key <<= np.uint64(32)
         inside = np.flatnonzero(left > depth)
-        after[inside] = rank[inside + depth] + np.uint64(1)
-        key = (rank << np.uint64(32)) | after
+        key[inside] |= rank[inside + depth] + np.uint64(1)
         depth *= 2
     return np.argsort(key, kind="stable")
 
@@ -236,7 +236,7 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray, widths: np.ndarray):
         self.text, self.widths = text, widths
-        order = suffix_order(text, widths)
+        order = suffix_order(text, widths).astype(np.int32)
         self.opens = np.cumsum(widths) - widths
         before = np.roll(text.astype(np.int16), 1)
         before[self.opens[widths > 0]] = self.END
@@ -247,9 +247,9 @@ class RunIndex:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of suffixes at ``a`` and ``b``."""
-        ends = np.repeat(np.cumsum(self.widths), self.widths)
+        ends = np.repeat(np.cumsum(self.widths), self.widths).astype(np.int32)
         most = np.minimum(ends[a] - a, ends[b] - b)
-        out = np.zeros(len(a), np.int64)
+        out = np.zeros(len(a), np.int32)
         alive = np.flatnonzero(most > 0)
         while len(alive):
             same = self.text[a[alive] + out[alive]] == self.text[b[alive] + out[alive]]
@@ -266,13 +266,14 @@ class RunIndex:
         neighbours of the place one byte earlier have moved on by one, and match one byte less.
         """
         n = len(self.text)
-        before, length = np.arange(n), np.zeros(n, np.int64)
+        places = np.arange(n, dtype=np.int32)
+        before, length = places.copy(), np.zeros(n, np.int32)
         at, source = self.run_head[1:], self.run_end[:-1]
         before[at], length[at] = source, self.common(at, source)
-        sampled = np.zeros(n, np.int64)
-        sampled[self.run_head] = self.run_head
-        near = np.maximum.accumulate(sampled)
-        moved = np.arange(n) - near
+        near = np.zeros(n, np.int32)
+        near[self.run_head] = self.run_head
+        near = np.maximum.accumulate(near)
+        moved = places - near
         return before[near] + moved, length[near] - moved
 
 
@@ -281,13 +282,14 @@ def covered_windows(text: np.ndarray, widths: np.ndarray, doc: np.ndarray, lengt
     index = RunIndex(text, widths)
     before, matched = index.matching_statistics()
     n = len(text)
-    first = np.where(matched >= length, before, np.arange(n))
+    first = np.where(matched >= length, before, np.arange(n, dtype=np.int32))
+    del before, matched
     while True:  # along the chain of equal windows to its first
         jump = first[first]
         if (jump == first).all():
             break
         first = jump
-    owner = np.repeat(np.arange(len(widths)), widths)
+    owner = np.repeat(np.arange(len(widths), dtype=np.int32), widths)
     open_ = np.flatnonzero(np.arange(n) - index.opens[owner] + length <= widths[owner])
     lowest = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(lowest, first[open_], doc[owner[open_]])
