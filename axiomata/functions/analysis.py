@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,12 @@ from axiomata.functions.latex import latex
 _STRING, _STRINGS = T.StringType(), T.ArrayType(T.StringType())
 #: What is derived from a formula's text, once.
 ANALYSIS = T.StructType([T.StructField(n, k) for n, k in zip(("canonical", "signature", "tokens", "facets", "side_latex", "error"), (_STRING, _STRING, _STRINGS, _STRINGS, _STRING, _STRING), strict=True)])
+#: Texts whose analysis a worker remembers, since corpora repeat them.
+REMEMBERED = 1 << 14
 FEATURES = T.StructType([T.StructField("tokens", _STRINGS), T.StructField("facets", _STRINGS)])
 
 
+@lru_cache(REMEMBERED)
 def analyse_text(text: str) -> tuple:
     """(canonical, signature, tokens, facets, side_latex, error) of Mathematica text."""
     try:

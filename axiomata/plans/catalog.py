@@ -153,14 +153,14 @@ def bm25_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", -1), lambda x: x != "")
-    docs = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("ws"))
+    n_words = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", n_words.alias("length"), words("text").alias("ws"))
     wanted = kept(table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(words("text"))).alias("tok")).distinct())
     terms = wanted.select("tok").distinct()
     terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     # a row per document and wanted word, dealt by document once for all that follows
-    lengths = docs.select("doc_id", F.size("ws").alias("length"))
-    stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
-    held = docs.select("doc_id", F.size("ws").alias("length"), F.explode("ws").alias("tok")).join(terms, "tok", "left_semi")
+    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
+    held = docs.select("doc_id", "length", F.explode("ws").alias("tok")).join(terms, "tok", "left_semi")
     postings = kept(held.groupBy("doc_id", "length", "tok").agg(F.count("*").alias("tf")))
     by_doc = postings.repartition("doc_id")  # then scores need no further exchange
     scores = search.bm25(by_doc, wanted, ["doc_id"], stats.select("n").scalar(), stats.select("average").scalar()).withColumn("bm25", F.round("bm25", 6))
